@@ -58,6 +58,7 @@ def _block_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     reps, times = rows["rep"].to_numpy(), rows["times"].to_numpy()
     table, two = int(rows["table"].iloc[0]), rows["i"].iloc[0] != rows["j"].iloc[0]
     side = rows["own"].to_numpy() == rows["j"].iloc[0] if two else None
+    vectors = vectors / np.abs(vectors).max(axis=1)[:, None]  # no square overflows or vanishes
     vectors = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
     if two:
         left, right = np.flatnonzero(~side), np.flatnonzero(side)
