@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,3 +41,18 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups, of more than one row, of frames that are sorted by integer keys."""
+    held: pd.DataFrame | None = None
+    for frame in frames:
+        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        values = frame[keys].to_numpy()
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1).tolist()]
+        yield from (frame.iloc[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi - lo > 1)
+        held = frame.iloc[cuts[-1] :]
+    if held is not None and len(held) > 1:
+        yield held

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize, partitions, runs
 from .components import connected_components
 
 #: Chance to miss a pair exactly at the threshold in all tables, and rows a block of a bucket.
@@ -86,19 +86,13 @@ def _block_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def _grouped(threshold: float):
-    """``_block_links`` for each run of rows of one group; a group has at most two blocks of rows."""
+    """``_block_links`` for each group; a group has at most two blocks of rows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for frame in frames:
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            keys = frame[["label", "dim", "table", "code", "i", "j"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
-            done = [_block_links(frame.iloc[lo:hi], threshold) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi - lo > 1]
-            held = frame.iloc[cuts[-1] :]
-            yield from (x for x in done if len(x))
-        if held is not None and len(held) > 1:
-            yield _block_links(held, threshold)
+        for group in runs(frames, ["label", "dim", "table", "code", "i", "j"]):
+            found = _block_links(group, threshold)
+            if len(found):
+                yield found
 
     return run
 

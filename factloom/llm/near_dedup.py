@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, setsketch
-from .common import materialize
+from .common import materialize, partitions, runs
 from .components import connected_components
 
 #: An estimate this far below the threshold (over six standard errors) ends a pair without comparing sets.
 ESTIMATE_MARGIN = 0.22
+#: Bands of more members than PAIRED are compared in blocks of at most BLOCK members and about BLOCK_SHINGLES shingles.
+PAIRED, BLOCK, BLOCK_SHINGLES = 48, 1000, 1 << 20
 
 
 def _sketch_batches(k: int):
@@ -91,6 +94,62 @@ def _exact_batches(percent: int):
     return run
 
 
+def shared_counts(some: list[np.ndarray], every: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many shingles each of ``some`` shares with each of ``every``: products of 0/1 matrices, a
+    run of shingles at a time, over the shingles that both sides have."""
+    wanted = np.unique(np.concatenate(some))
+    counts = np.zeros((len(some), len(every)), np.float32)
+    sides = []
+    for sets in (some, every):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        values = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)
+        there = wanted[at] == values
+        order = np.argsort(at[there], kind="stable")
+        sides.append((at[there][order], owner[there][order], len(sets)))
+    for low in range(0, len(wanted), columns):
+        halves = []
+        for at, owner, n in sides:
+            lo, hi = np.searchsorted(at, [low, low + columns])
+            half = np.zeros((n, columns), np.float32)
+            half[owner[lo:hi], at[lo:hi] - low] = 1
+            halves.append(half)
+        counts += halves[0] @ halves[1].T
+    return counts
+
+
+def _block_batches(percent: int):
+    """A spanning star of the links of each pair of blocks. Members of the commonest component are not
+    compared with each other, as they are linked already."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in runs(frames, ["band", "i", "j"]):
+            component, ids = group["component"].to_numpy(), group["doc_id"].to_numpy()
+            names, counts = np.unique(component, return_counts=True)
+            apart = np.flatnonzero(component != names[counts.argmax()])
+            if not len(apart):
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+            sizes = np.array([len(x) for x in sets])
+            shared = shared_counts([sets[i] for i in apart], sets)
+            a, b = np.nonzero(100 * shared >= percent * (sizes[apart][:, None] + sizes[None, :] - shared))
+            a = apart[a]
+            label = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+            names = np.sort(ids)
+            while len(a):
+                low = np.minimum(label[a], label[b])
+                new = label.copy()
+                np.minimum.at(new, a, low)
+                np.minimum.at(new, b, low)
+                if (new == label).all():
+                    break
+                label = new
+            out = pd.DataFrame({"a": names[label], "b": ids})
+            yield out[out["a"] != out["b"]]
+
+    return run
+
+
 def _similar_sizes(small: Column, large: Column, percent: int) -> Column:
     return F.least(small, large) * 100 >= F.greatest(small, large) * percent
 
@@ -106,14 +165,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(joined.mapInArrow(_exact_batches(percent), "a long, b long"))
 
 
+def _blocked(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links within large bands: every pair of blocks of a band is a group, whatever the band's size."""
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("volume") / BLOCK_SHINGLES, F.lit(1))).cast("int")
+    placed = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "component").join(full.select("doc_id", "shingles"), "doc_id")
+    dealt = dealt.repartition(partitions(members.sparkSession), "band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return materialize(dealt.mapInPandas(_block_batches(percent), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked when 100 * |intersection| >= ``percent`` * |union| of their shingle sets.
     Equal sets are one class, by its smallest doc_id, and only classes are compared. Each band with
     several classes proposes links to its most central class; what these leave in different
-    components is then compared pair by pair, so no proposed link is lost and a group of thousands of
-    near copies costs a number of pairs in proportion to its size. Texts that are null or without
+    components is then compared, pair by pair in small bands and block by block in large ones, so no
+    proposed link is lost and no large group is written out as pairs. Texts that are null or without
     words link with nothing. Rows with a null doc_id can't be linked: their component is null and they
     are kept. Rows that repeat a doc_id count as one document. Other columns are not read.
     """
@@ -147,15 +216,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     # The rest: pairs of a band that the first links left in different components.
     joined = materialize(connected_components(links))
-    placed = members.join(joined.toDF("doc_id", "component"), "doc_id", "left").select("band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    placed = members.join(joined.toDF("doc_id", "component"), "doc_id", "left").select("band", "doc_id", "n_shingles", "size", F.coalesce("component", "doc_id").alias("component"))
     placed = materialize(placed)
-    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    open_members = materialize(placed.join(materialize(split), "band"))
-    a, b = open_members.toDF("band", "a", "n_a", "component_a"), open_members.toDF("band", "b", "n_b", "component_b")
-    rest = a.join(b, "band").where("a < b and component_a <> component_b").where(_similar_sizes(F.col("n_a"), F.col("n_b"), percent))
-    rest = rest.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    split = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n_shingles").alias("volume")).where("low <> high").select("band", "volume")
+    rest = materialize(placed.join(materialize(split), "band"))
+    few = rest.where(F.col("size") <= PAIRED).select("band", "doc_id", "n_shingles", "component")
+    a, b = few.toDF("band", "a", "n_a", "component_a"), few.toDF("band", "b", "n_b", "component_b")
+    left = a.join(b, "band").where("a < b and component_a <> component_b").where(_similar_sizes(F.col("n_a"), F.col("n_b"), percent))
+    left = left.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.unionByName(_verified(materialize(rest.join(tried, ["a", "b"], "left_anti")), full, percent))
+    links = links.unionByName(_verified(materialize(left.join(tried, ["a", "b"], "left_anti")), full, percent))
+    links = links.unionByName(_blocked(rest.where(F.col("size") > PAIRED), full, percent))
     final = materialize(connected_components(links))
 
     named = rows.select("doc_id", "n_shingles").join(copies, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
