@@ -127,6 +127,8 @@ def text_blocks(page: str) -> list[TextBlock]:
 
 def features(blocks: list[TextBlock]) -> list[list[float]]:
     """Word counts and link densities of each block and its neighbours, and where it stands."""
+    if not blocks:
+        return []
     edge = TextBlock("", 0, 0, 0, 0, 0, 0, -1)
     has_article = float(any(b.article for b in blocks))
     rows = []

@@ -176,13 +176,13 @@ def _predict_batches(net: ByteConvNet | None):
                         lang[i], score[i] = net.languages[best], float(min(1.0, top))
                 langs += lang
                 scores += score
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "__lang_pred", "__score"])
 
     return run
 
 
 def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with lang_pred and score.
+    """The columns ``keep`` with __lang_pred and __score.
 
     Whole texts are read: the score of a language is its mean probability over all windows of a text,
     by their bytes. Text that is null or has no letter gives ``und`` and 0. Without a net (nothing to
@@ -190,7 +190,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str]) -> DataFr
     """
     source = docs.select(F.col("text").cast("string").alias("__text"), *keep)
     schema = ", ".join(f"`{name}` {kind}" for name, kind in source.dtypes[1:])
-    return source.mapInArrow(_predict_batches(net), f"{schema}, lang_pred string, score double")
+    return source.mapInArrow(_predict_batches(net), f"{schema}, __lang_pred string, __score double")
 
 
 def held_out() -> Column:
@@ -209,9 +209,9 @@ def identify(docs: DataFrame) -> DataFrame:
     The net learns from the text and non-null lang of documents that are not held out. Repeated rows
     are predicted each; a null doc_id is not held out. An empty table gives no rows.
     """
-    return predict(docs, fit(docs), ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs, fit(docs), ["doc_id"]).select("doc_id", held_out().alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def keep_known(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
     """The documents whose language the net recognises (not ``und``, score at least ``least_score``); columns unchanged."""
-    return predict(docs, fit(docs), docs.columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(docs.columns)
+    return predict(docs, fit(docs), docs.columns).where((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least_score)).select(docs.columns)

@@ -23,7 +23,7 @@ DOCS_PER_DOMAIN, WORDS_PER_DOMAIN = 300, 100
 SHARPNESS = 30.0
 #: Domain weights are the domains' natural shares to this power, unless weights are given.
 TEMPERATURE = 0.7
-STEPS, TOLERANCE = 40, 1e-7
+STEPS, TOLERANCE = 200, 1e-6
 _SPACE = r"[\x20\x09-\x0D]"
 
 
