@@ -80,14 +80,16 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     k = max(1, len(model.domains))
     rest = model.tables[-1] if model.domains else [0.0]
-    word = docs.select("doc_id", F.xxhash64(text).alias("__text"), F.posexplode(F.split(text, _SPACE)).alias("at", "word"))
+    pieces = F.array_prepend(F.split(text, _SPACE), " ")  # no word is a space: it marks the row
+    word = docs.select("doc_id", F.xxhash64(text).alias("__text"), F.explode(pieces).alias("word")).where("word <> ''")
     fields = ", ".join(f"l{d} double" for d in range(k))
     known = docs.sparkSession.createDataFrame([(w, *row) for w, row in zip(model.words, model.tables, strict=False)], f"word string, {fields}")
-    seen = (F.col("word") != "").cast("long")
     sums = word.join(F.broadcast(known), "word", "left").groupBy("doc_id", "__text").agg(
-        F.sum((F.col("at") == 0).cast("long")).alias("__rows"), F.sum(seen).alias("words"),
-        *[F.sum(F.coalesce(F.col(f"l{d}"), F.lit(rest[d])) * seen).alias(f"e{d}") for d in range(k)],
+        F.count_if(F.col("word") == " ").alias("__rows"), F.count(F.lit(1)).alias("pieces"), F.count("l0").alias("known"), *[F.sum(f"l{d}").alias(f"l{d}") for d in range(k)]
     )
+    sums = sums.withColumn("words", F.col("pieces") - F.col("__rows"))
+    others = F.col("words") - F.col("known")
+    sums = sums.withColumns({f"e{d}": F.coalesce(F.col(f"l{d}"), F.lit(0.0)) + others * rest[d] for d in range(k)})
     evidence = F.array(*[F.col(f"e{d}") * SHARPNESS / F.greatest(F.col("words"), F.lit(1)) for d in range(k)])
     powers = sums.withColumn("e", evidence).withColumn("e", F.transform("e", lambda x: F.exp(x - F.array_max("e"))))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
