@@ -6,11 +6,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.scalars import round_up, slug, valid_period
 
 CENT = 0.01
 TOTALS = ("gross_pay_total", "employer_cost_total", "employer_social_security_total", "net_pay_total")
+SLIP_FIELDS = ("gross", "employee_social_security", "tax", "net", "employer_social_security", "employer_cost")
 
 
 def classify_documents(docs: DataFrame) -> DataFrame:
@@ -35,29 +37,39 @@ def complete_totals(gross: Column, cost: Column, social: Column) -> tuple[Column
 def fuse_events(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents of one (company, period, event_ref) to one payroll event. (events, rejected groups)
 
-    The first document by id gives each field; a later value that differs by more than a cent is a
-    conflict. A group needs a register and a bank document and at most one currency.
+    The first document by id gives each field; a later value that differs from it by more than a cent is
+    a conflict. A group needs a register and a bank document and at most one currency. An employee has
+    one payslip, that of the first document, under the same rule.
     """
     keyed = docs.withColumns({"company_label": F.col("company"), "company": F.lower(F.trim(F.regexp_replace("company", r"\s+", " "))), "event_ref": F.lower(F.trim(F.coalesce("event_ref", F.lit(""))))})
     group = ["company", "period", "event_ref"]
     own = lambda kind, name: F.when(F.col("doc_type") == kind, F.col(name))
     fields = {f"{kind}_{name}": own(kind, name) for kind, names in {"register": (*TOTALS[:3], "employee_count"), "bank": ("net_pay_total", "payment_date")}.items() for name in names}
+    start = lambda value: F.min_by(value, F.when(value.isNotNull(), F.col("doc_id")))
+    apart = lambda value: F.greatest(F.max(value) - start(value), start(value) - F.min(value))
+    slips = (
+        keyed.where("payslip is not null").groupBy(*[F.col(g).alias(f"__{g}") for g in group], F.lower(F.trim("payslip.employee_id")))
+        .agg(F.min_by("payslip", "doc_id").alias("slip"), F.greatest(*[F.coalesce(apart(F.col(f"payslip.{name}")), F.lit(0.0)) for name in SLIP_FIELDS]).alias("spread"))
+        .groupBy(*[f"__{g}" for g in group]).agg(F.array_sort(F.collect_list("slip")).alias("slips"), (F.max("spread") > CENT).alias("slip_conflict"))
+    )
     first = keyed.groupBy(*group).agg(
-        *[F.min_by(value, F.when(value.isNotNull(), F.col("doc_id"))).alias(name) for name, value in fields.items()],
-        *[(F.max(value) - F.min(value)).alias(f"{name}__spread") for name, value in fields.items() if not name.endswith("payment_date")],
+        *[start(value).alias(name) for name, value in fields.items()],
+        *[apart(value).alias(f"{name}__spread") for name, value in fields.items() if not name.endswith("payment_date")],
         F.max(own("register", "doc_id")).isNotNull().alias("has_register"), F.max(own("bank", "doc_id")).isNotNull().alias("has_bank"),
         F.count_distinct("currency").alias("currencies"), F.min("currency").alias("currency"), F.min("company_label").alias("label"),
         F.array_sort(F.collect_set("doc_id")).alias("linked_docs"),
-        F.array_sort(F.collect_list("payslip")).alias("slips"),
     )
+    first = first.join(slips, F.expr(" and ".join(f"{g} <=> __{g}" for g in group)), "left").drop(*[f"__{g}" for g in group])
+    none = F.array().cast(ArrayType(keyed.schema["payslip"].dataType))
+    first = first.withColumn("slips", F.coalesce("slips", none))
     conflict = None
     for name in fields:
         if not name.endswith("payment_date"):
-            apart = F.coalesce(F.col(f"{name}__spread"), F.lit(0)) > (0 if name.endswith("count") else CENT)
-            conflict = apart if conflict is None else conflict | apart
+            differs = F.coalesce(F.col(f"{name}__spread"), F.lit(0)) > (0 if name.endswith("count") else CENT)
+            conflict = differs if conflict is None else conflict | differs
     gross, cost, social = complete_totals(F.col("register_gross_pay_total"), F.col("register_employer_cost_total"), F.col("register_employer_social_security_total"))
     reason = (
-        F.when(F.col("currencies") > 1, "conflicting_currency").when(~F.col("has_register"), "missing_register").when(~F.col("has_bank"), "missing_bank").when(conflict, "conflicting_value")
+        F.when(F.col("currencies") > 1, "conflicting_currency").when(~F.col("has_register"), "missing_register").when(~F.col("has_bank"), "missing_bank").when(conflict, "conflicting_value").when(F.col("slip_conflict"), "conflicting_payslip")
         .when(gross.isNull() | cost.isNull(), "incomplete_totals").when(F.abs(cost - gross - social) > CENT, "inconsistent_totals").when(F.least(gross, cost, social) < 0, "negative_total")
     )
     rows = first.withColumn("reason", reason)

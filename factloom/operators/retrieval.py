@@ -67,12 +67,13 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
     A term that a query repeats counts as often. Documents without tokens count in the averages.
     """
-    n_docs = docs.count()
-    lengths = docs.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.avg("n")).first()[0] or 0.0
-    average = lengths or 1.0
+    split = docs.select("id", tokens(F.col("text")).alias("words"))
+    n_docs, length = split.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    average = length or 1.0
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     wanted = asked.select("term").distinct()
-    words = docs.select("id", F.posexplode(tokens(F.col("text"))).alias("at", "term"), F.size(tokens(F.col("text"))).alias("length"))
+    # The length is taken before the words are spread, or each word would split its whole text again.
+    words = split.select("id", "words", F.size("words").alias("length")).select("id", "length", F.explode("words").alias("term"))
     postings = words.join(wanted, "term", "left_semi").groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
     idf = F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf.alias("idf"))

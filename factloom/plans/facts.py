@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -68,3 +68,33 @@ money AS (
   UNION ALL
   SELECT 'purchase', currency, 'shared', strftime(l_shipdate, '%Y-%m'), l_extendedprice * (1 - l_discount), CASE WHEN s_nationkey % 4 = 1 AND l_returnflag = 'N' THEN NULL ELSE l_extendedprice * (1 - l_discount) END
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN cur ON nk = s_nationkey)"""
+
+
+def payroll_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a payroll run: a register, a bank statement (every tenth is missing) and a payslip a line."""
+    orders, customer, lines = (table(spark, sf_dir, name) for name in ("orders", "customer", "lineitem"))
+    key, none = F.col("o_orderkey"), F.lit(None)
+    base = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).select(
+        "o_orderkey", F.col("c_mktsegment").alias("company"), F.date_format("o_orderdate", "yyyy-MM").alias("period"), F.concat(F.lit("ORD-"), key).alias("event_ref"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))  # line numbers repeat
+    slip = base.join(lines.withColumn("line", place), key == F.col("l_orderkey"))
+    sums = slip.groupBy("o_orderkey", "company", "period", "event_ref").agg(F.round(F.sum("l_extendedprice"), 2).alias("gross"), F.count(F.lit(1)).cast("int").alias("n"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("paid"))
+    head = lambda kind, prefix: [F.concat(F.lit(prefix), key).alias("doc_id"), F.lit(kind).alias("doc_type"), "company", "period", F.lit("EUR").alias("currency"), "event_ref"]
+    field = lambda name, value, kind="double": value.cast(kind).alias(name)
+    shape = "struct<employee_id:string,name:string,gross:double,employee_social_security:double,tax:double,net:double,employer_social_security:double,employer_cost:double>"
+
+    def document(rows, kind, prefix, paid=none, gross=none, cost=none, net=none, count=none, payslip=none):
+        return rows.select(*head(kind, prefix), field("payment_date", paid, "string"), field("gross_pay_total", gross), field("employer_cost_total", cost), field("employer_social_security_total", none), field("net_pay_total", net), field("employee_count", count, "int"), payslip.cast(shape).alias("payslip"))
+
+    gross, price = F.col("gross"), F.col("l_extendedprice")
+    register = document(sums, "register", "r-", gross=gross, cost=gross * 1.1, count=F.when(key % 7 == 0, F.col("n") + 1).otherwise(F.col("n")))
+    bank = document(sums.where(key % 10 != 0), "bank", "b-", paid=F.col("paid"), net=gross * F.when(key % 3 == 0, 0.75).otherwise(0.8))
+    pay = F.struct(F.concat(F.lit("e"), "line"), F.lit("n"), price, price * 0.1, price * 0.1, price * 0.8, price * 0.1, price * 1.1)
+    slips = document(slip.withColumn("payslip", pay), "payslip", "s-", payslip=F.col("payslip")).withColumn("doc_id", F.concat("doc_id", F.lit("-"), F.col("payslip.employee_id")))
+    return register.unionByName(bank).unionByName(slips)
+
+
+#: One row for each such run in SQL; ``k`` is the order.
+PAYROLL_SQL = """
+run AS (SELECT o_orderkey AS k, c_mktsegment AS company, strftime(o_orderdate, '%Y-%m') AS period, last_day(o_orderdate::DATE) + 7 AS due, round(sum(l_extendedprice), 2) AS gross, count(*) AS n, max(l_shipdate)::DATE AS paid
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)"""

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_label, localized_amount, slug, snippet, tokens
-from ..operators import audit, finance, lifecycle, retrieval, usage
-from .facts import MEMORIES_SQL, MONEY_SQL, memories, money, table
+from ..operators import audit, finance, lifecycle, meaning, retrieval, usage
+from .facts import MEMORIES_SQL, MONEY_SQL, PAYROLL_SQL, memories, money, payroll_documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -261,3 +261,82 @@ SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^\p{L}\p{N}]+', '-', 'g')
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     printed = F.concat(F.when(F.col("s_acctbal") < 0, "(").otherwise(""), F.translate(F.format_number(F.abs("s_acctbal"), 2), ",.", ".,"), F.when(F.col("s_acctbal") < 0, ") EUR").otherwise(" EUR"))
     return table(spark, sf_dir, "supplier").select("s_suppkey", slug(F.col("s_name")).alias("slug"), canonical_label(F.col("s_name")).alias("label"), localized_amount(printed).alias("amount"))
+
+
+@query(f"""
+WITH {PAYROLL_SQL}
+SELECT company, period, 'ord-' || k AS event_ref, CASE WHEN k % 7 = 0 THEN n + 1 ELSE n END AS employee_count, gross AS gross_total, gross * 1.1 AS employer_cost_total,
+  'evt-' || lower(company) || '-ord-' || k || '-' || substr(sha256(lower(company) || '|' || period || '|ord-' || k), 1, 12) || '-' || period AS event_id, n + 2 AS n_documents FROM run WHERE k % 10 <> 0""")
+def fuse_payroll_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, _ = finance.fuse_events(payroll_documents(spark, sf_dir))
+    return events.select("company", "period", "event_ref", "employee_count", "gross_total", "employer_cost_total", "event_id", F.size("linked_docs").alias("n_documents"))
+
+
+@query(f"WITH {PAYROLL_SQL} SELECT lower(company) AS company, period, 'missing_bank' AS reason, count(*) AS n FROM run WHERE k % 10 = 0 GROUP BY 1, 2")
+def rejected_payroll_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rejected = finance.fuse_events(payroll_documents(spark, sf_dir))
+    return rejected.groupBy("company", "period", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH {PAYROLL_SQL},
+r AS (SELECT k, unnest([{{'rule': 'R1', 'good': k % 3 <> 0}}, {{'rule': 'R2', 'good': k % 3 <> 0}}, {{'rule': 'R3', 'good': paid <= due}}, {{'rule': 'R4', 'good': k % 7 <> 0}}, {{'rule': 'R5', 'good': true}}, {{'rule': 'R6', 'good': true}}]) AS x FROM run WHERE k % 10 <> 0)
+SELECT 'ord-' || k AS event_ref, x.rule AS rule, CASE WHEN x.good THEN 'passed' ELSE 'failed' END AS status FROM r""")
+def validation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, _ = finance.fuse_events(payroll_documents(spark, sf_dir))
+    return finance.validation_rules(events.withColumn("event_id", F.col("event_ref"))).select(F.col("event_id").alias("event_ref"), "rule", "status")
+
+
+@query("""
+WITH f AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, vec_id % 4 AS c FROM embeddings WHERE label IS NOT NULL)
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 4) AS similarity, CASE WHEN least(a.c, b.c) = 0 AND greatest(a.c, b.c) >= 2 THEN 'punctuality' ELSE 'payment' END AS cluster
+FROM f a JOIN f b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.c <> b.c AND NOT (least(a.c, b.c) = 1 AND greatest(a.c, b.c) = 2) AND list_cosine_similarity(a.v, b.v) >= 0.2""")
+def semantic_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    says = F.element_at(F.array(*[F.lit(x) for x in ("Was paid on time.", "This is not paid yet.", "Unpaid and overdue", "settled late")]), (F.col("vec_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "embeddings").where("label is not null").select(F.col("vec_id").alias("id"), "label", "embedding", says.alias("content"))
+    return meaning.semantic_findings(rows, ["label"], 0.2)
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents), w AS (SELECT DISTINCT term FROM t),
+h AS (SELECT term, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(term, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM w),
+b AS (SELECT doc_id, least(h, 4294967296 - h) % 256 AS bucket, count(*) AS n FROM t JOIN h USING (term) GROUP BY 1, 2),
+s AS (SELECT doc_id, count(*) AS n_buckets, sum(bucket * n) / sqrt(sum(n * n)) AS moment FROM b GROUP BY 1)
+SELECT doc_id, coalesce(n_buckets, 0) AS n_buckets, round(coalesce(moment, 0), 6) AS moment FROM documents LEFT JOIN s USING (doc_id)""")
+def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = meaning.hash_embed(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), 256)
+    moment = F.aggregate(F.transform("embedding", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    return vectors.select(F.col("id").alias("doc_id"), F.size(F.filter("embedding", lambda x: x != 0)).alias("n_buckets"), F.round(moment, 6).alias("moment"))
+
+
+_FIGURES = "list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[0-9][0-9,]*(?:\\.[0-9]+)?'), lambda x: replace(x, ',', '')))"
+
+
+@query(f"""
+WITH a AS (SELECT DISTINCT conv_id, unnest({_FIGURES}) AS f FROM conversations WHERE role = 'assistant'),
+e AS (SELECT DISTINCT conv_id, unnest({_FIGURES}) AS f FROM conversations WHERE role <> 'assistant'),
+q AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant')
+SELECT conv_id AS query_id, count(a.f) AS n_figures, count(e.f) AS n_traced FROM q LEFT JOIN a USING (conv_id) LEFT JOIN e ON e.conv_id = q.conv_id AND e.f = a.f GROUP BY 1""")
+def figure_traceability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), "role", "text")
+    return meaning.figure_traceability(turns.where("role = 'assistant'"), turns.where("role <> 'assistant'"))
+
+
+@query(f"""
+WITH {MEMORIES_SQL}
+SELECT id AS memory_id, CASE WHEN k % 2 = 0 THEN 'correct' ELSE 'incorrect' END AS outcome, CASE WHEN k % 2 = 0 THEN 0.95 ELSE round(importance, 2) END AS importance, k % 2 = 1 AS superseded FROM mem WHERE kind = 'document'""")
+def apply_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit.with_subject(memories(spark, sf_dir)).withColumn("superseded_at", F.lit(None).cast("timestamp"))
+    even = F.substring_index("id", "-", -1).cast("long") % 2 == 0
+    said = rows.where("kind = 'document'").select(F.concat(F.lit("f-"), "id").alias("feedback_id"), F.col("id").alias("memory_id"), F.when(even, "correct").otherwise("incorrect").alias("outcome"), F.lit("corrected").alias("correction"))
+    updated, _, _ = lifecycle.apply_feedback(rows, said)
+    return updated.withColumn("importance", F.round("importance", 2))
+
+
+@query("""
+WITH c AS (SELECT lang, source, count(DISTINCT quality) > 1 AS unstable FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2)
+SELECT lang AS arm, count(*) AS cases, count(*) FILTER (unstable) AS unstable, round((1 - count(*) FILTER (unstable) / count(*)) * 100, 6) AS stable_pct FROM c GROUP BY 1""")
+def run_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
+    found = usage.run_stability(rows.select(F.col("lang").alias("arm"), F.col("source").alias("case_id"), F.col("quality").alias("predicted")))
+    return found.withColumn("stable_pct", F.round("stable_pct", 6))

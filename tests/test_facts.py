@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from factloom.functions.scalars import canonical_label, localized_amount, round_up, slug
-from factloom.operators import audit, finance, lifecycle
+from factloom.operators import audit, finance, lifecycle, meaning
 from factloom.plans.queries import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -79,10 +79,24 @@ def test_fused_event_passes_its_rules(spark):
     rows = [
         ("d1", "register", "Acme", "2026-05", "EUR", None, None, 12000.0, 14600.0, None, None, 3, None), ("d2", "bank", "acme ", "2026-05", None, None, "2026-05-27", None, None, None, 10800.0, None, None),
         *[(f"s{i}", "payslip", "Acme", "2026-05", "EUR", None, None, *none, (f"e{i}", "n", 4000.0, 200.0, 200.0, 3600.0, 866.67, 4866.67)) for i in range(3)],
+        *[(f"c{i}", kind, "Clash", "2026-05", "EUR", None, None, gross, cost, None, net, None, ("E1 " if i else "e1", "n", 10.0 + i * (kind == "payslip"), 0.0, 0.0, 9.0, 1.0, 11.0) if kind == "payslip" else None)
+          for i, (kind, gross, cost, net) in enumerate([("payslip", None, None, None), ("payslip", None, None, None), ("register", 10.0, 11.0, None), ("bank", None, None, 9.0)])],
         ("x1", "bank", "Solo", "2026-05", "EUR", None, None, None, None, None, 5.0, None, None),
     ]
     events, rejected = finance.fuse_events(spark.createDataFrame(rows, schema))
     event = events.collect()
     assert len(event) == 1 and event[0].off_bank_cost == 3800.0 and event[0].linked_docs == ["d1", "d2", "s0", "s1", "s2"]
     assert {r.rule: r.status for r in finance.validation_rules(events).collect()} == {f"R{i}": "passed" for i in range(1, 7)}
-    assert [(r.company, r.reason) for r in rejected.collect()] == [("solo", "missing_register")]
+    assert sorted((r.company, r.reason) for r in rejected.collect()) == [("clash", "conflicting_payslip"), ("solo", "missing_register")]
+
+
+def test_polarity_and_figures(spark):
+    texts = ["Always paid on time.", "They do not pay on time", "unpaid", None, "never late", "Payment was never overdue but the account is closed"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    signs = [r[0] for r in frame.select(meaning.polarity(audit.F.col("t"))).collect()]
+    assert [(s[0], s[1], s[5]) for s in signs] == [(1, 1, 0), (-1, 0, 0), (0, -1, 0), (0, 0, 0), (1, 0, 0), (1, 0, -1)]
+    answers = spark.createDataFrame([(1, "1,200 and 3.5, then 7"), (2, None)], "query_id long, text string")
+    evidence = spark.createDataFrame([(1, "it was 1200"), (1, "7 7"), (2, "9")], "query_id long, text string")
+    assert sorted(tuple(r) for r in meaning.figure_traceability(answers, evidence).collect()) == [(1, 3, 2), (2, 0, 0)]
+    vectors = meaning.hash_embed(spark.createDataFrame([(1, "a a b"), (2, None)], "id long, text string"), 64).collect()
+    assert sorted(round(sum(x * x for x in r.embedding), 9) for r in vectors) == [0.0, 1.0] and all(len(r.embedding) == 64 for r in vectors)
