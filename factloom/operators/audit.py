@@ -107,3 +107,17 @@ def dangling_references(memories: DataFrame) -> DataFrame:
     refs = rows.select("company_key", "period", "id", F.explode(F.from_json(F.get_json_object("metadata", "$.refs"), "array<string>")).alias("ref"))
     known = rows.where("subject is not null").select("company_key", "period", F.col("subject").alias("ref"))
     return refs.join(known, ["company_key", "period", "ref"], "left_anti").groupBy("company_key", "period", "ref").agg(F.count_distinct("id").alias("n_memories"), F.min("id").alias("first_id"))
+
+
+def contradiction_alerts(memories: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """Scope, subject and attr that two memories or more give values apart: numbers by more than the tolerance,
+    or different texts or booleans, or values of two types.
+
+    Only mergeable extremes are kept for each key, so this runs over a stream too, where a key's row comes
+    again whenever it changes. The first value of a stream opens no bucket; the spread decides.
+    """
+    rows = attributes(memories).withColumn("text", F.concat("type", F.lit(":"), "text"))
+    spread = rows.groupBy(*SCOPE, "attr").agg(*[f(c).alias(f"{n}_{c}") for c in ("number", "text", "id") for n, f in (("low", F.min), ("high", F.max))], F.count(F.lit(1)).alias("n_values"))
+    apart = F.coalesce(F.col("high_number") - F.col("low_number") > tolerance, F.lit(False)) | F.coalesce(F.col("low_text") != F.col("high_text"), F.lit(False))
+    mixed = F.col("low_number").isNotNull() & F.col("low_text").isNotNull()
+    return spread.where((apart | mixed) & (F.col("low_id") != F.col("high_id"))).select(*SCOPE, "attr", "n_values", "low_id", "high_id")

@@ -40,6 +40,24 @@ def run_stability(judgements: DataFrame) -> DataFrame:
     return cases.groupBy("arm").agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("unstable")).alias("unstable"), ((1 - F.count_if(F.col("unstable")) / F.count(F.lit(1))) * 100).alias("stable_pct"))
 
 
+def promotion_gate(judgements: DataFrame, floors: dict[str, float], gains: dict[str, float]) -> DataFrame:
+    """(arm baseline or candidate, repetition, case_id, expected, predicted, status) → gate, arm, measure, value, threshold, passed.
+
+    ``absolute``: the worst repetition of each arm against ``floors``; ``gain``: the candidate's mean less the
+    baseline's against ``gains``; all in percent points. ``stability`` has one value an arm. The candidate is
+    promoted when every row passed.
+    """
+    measures = ["accuracy", "precision", "recall", "completion"]
+    each = confusion(judgements, ["arm", "repetition"]).unpivot(["arm", "repetition"], measures, "measure", "share").withColumn("value", F.col("share") * 100)
+    stable = run_stability(judgements).select("arm", F.lit(None).cast("int").alias("repetition"), F.lit("stability").alias("measure"), F.col("stable_pct").alias("value"))
+    values = each.select("arm", F.col("repetition").cast("int").alias("repetition"), "measure", "value").unionByName(stable)
+    limit = lambda limits: F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("measure")]
+    worst = values.groupBy("arm", "measure").agg(F.min("value").alias("value")).select(F.lit("absolute").alias("gate"), "arm", "measure", "value", limit(floors).alias("threshold"))
+    mean = lambda arm: F.avg(F.when(F.col("arm") == arm, F.col("value")))
+    gain = values.groupBy("measure").agg((mean("candidate") - mean("baseline")).alias("value")).select(F.lit("gain").alias("gate"), F.lit("candidate").alias("arm"), "measure", "value", limit(gains).alias("threshold"))
+    return worst.unionByName(gain).where("threshold is not null").withColumn("value", F.round("value", 4)).withColumn("passed", F.col("value") >= F.col("threshold"))
+
+
 def table_fingerprint(rows: DataFrame) -> DataFrame:
     """A hash of all rows that does not depend on their order, and their number."""
     digest = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("decimal(38,0)")

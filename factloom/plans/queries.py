@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_label, localized_amount, slug, snippet, tokens
-from ..operators import audit, finance, lifecycle, meaning, retrieval, usage
+from ..operators import audit, consolidation, finance, lifecycle, meaning, retrieval, usage
+from ..sources.tables import scan_active
 from .facts import MEMORIES_SQL, MONEY_SQL, PAYROLL_SQL, memories, money, payroll_documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -340,3 +341,72 @@ def run_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
     found = usage.run_stability(rows.select(F.col("lang").alias("arm"), F.col("source").alias("case_id"), F.col("quality").alias("predicted")))
     return found.withColumn("stable_pct", F.round("stable_pct", 6))
+
+
+@query(f"WITH {MEMORIES_SQL} SELECT id, kind FROM mem WHERE company_key = 'building' AND kind IN ('invoice', 'insight') AND created_at < TIMESTAMP '1998-01-01' - INTERVAL 365 DAY IS FALSE")
+def scan_memories_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = audit.with_subject(memories(spark, sf_dir))
+    old = F.col("created_at") < F.lit("1997-01-01").cast("timestamp")
+    return scan_active(rows.withColumn("superseded_at", F.when(old, F.col("created_at"))), "_public", company_key="building", kinds=["invoice", "insight"]).select("id", "kind")
+
+
+@query(f"""
+WITH {MEMORIES_SQL},
+odd AS (SELECT k, company_key, period, subject, count(*) AS n, count(DISTINCT status) > 1 AS s, max(total) - min(total) > 0.5 AS t FROM mem GROUP BY ALL HAVING count(*) = 2)
+SELECT company_key, period, subject, 'total' AS attr, 2 AS n_values, 'a-' || k AS low_id, 'b-' || k AS high_id FROM odd WHERE t
+UNION ALL SELECT company_key, period, subject, 'status', 2, 'a-' || k, 'b-' || k FROM odd WHERE s""")
+def contradiction_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.contradiction_alerts(memories(spark, sf_dir))
+
+
+@query(f"""
+WITH {MEMORIES_SQL},
+p AS (SELECT a.k, a.importance AS ia, b.id IS NOT NULL AS two, abs(a.total - b.total) > 0.5 AS odd FROM mem a LEFT JOIN mem b ON a.k = b.k AND b.id LIKE 'b-%' WHERE a.id LIKE 'a-%'),
+s AS (SELECT *, CASE WHEN k % 3 = 2 THEN 'stale' WHEN two <> (k % 3 = 0) THEN 'incomplete' WHEN two AND odd THEN 'resolved' ELSE 'no_conflict' END AS state FROM p)
+SELECT 'd-' || k AS decision_id, state, CASE WHEN state = 'resolved' THEN 'b-' || k END AS superseded, CASE WHEN state = 'resolved' THEN 0.95::DOUBLE END AS importance FROM s""")
+def apply_conflict_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision an order: on both memories, without the target, or for a row that is not there."""
+    rows = memories(spark, sf_dir)
+    k = F.substring_index("id", "-", -1)
+    case = k.cast("long") % 3
+    decisions = audit.with_subject(rows).where(F.col("id").startswith("a-")).select(
+        F.concat(F.lit("d-"), k).alias("decision_id"), "company_key", "period", "subject", F.lit("total").alias("attr"),
+        F.concat(F.when(case == 2, "x-").otherwise("a-"), k).alias("selected_id"), F.when(case == 0, F.array(F.concat(F.lit("b-"), k))).otherwise(F.array().cast("array<string>")).alias("target_ids"))
+    return lifecycle.apply_conflict_decisions(rows, decisions).select("decision_id", "state", F.array_join("superseded_ids", ",").alias("superseded"), "importance")
+
+
+@query("SELECT o_orderkey AS operation_id, CASE WHEN o_orderkey % 4 <> 0 THEN 'run' WHEN o_orderkey % 8 = 0 THEN 'conflict' ELSE 'replay' END AS state, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 8 <> 0 THEN o_orderstatus END AS result FROM orders")
+def operation_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth order was logged; the price of every eighth has changed since."""
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    mark = lambda price: F.sha2(F.to_json(F.struct("o_custkey", price.alias("price"))), 256).alias("request_hash")
+    price = F.col("o_totalprice")
+    log = orders.where(key % 4 == 0).select(key.alias("operation_id"), mark(F.when(key % 8 == 0, price + 1).otherwise(price)), F.col("o_orderstatus").alias("result"))
+    return lifecycle.replay_operations(orders.select(key.alias("operation_id"), mark(price)), log)
+
+
+@query("""
+WITH j AS (SELECT a.arm, r.rep, doc_id, quality = 1 AS e, CASE WHEN a.arm = 'baseline' THEN toxic = 0 ELSE toxic = 0 AND (n_chars > 100 OR r.rep = 2) END AS p FROM labels JOIN documents USING (doc_id), (VALUES ('baseline'), ('candidate')) a(arm), (VALUES (1), (2)) r(rep)),
+m AS (SELECT arm, rep, 100 * avg((e = p)::INT) AS accuracy, 100 * count(*) FILTER (e AND p) / count(*) FILTER (p) AS "precision", 100 * count(*) FILTER (e AND p) / count(*) FILTER (e) AS recall FROM j GROUP BY ALL),
+v AS (SELECT arm, measure, value FROM m UNPIVOT (value FOR measure IN (accuracy, "precision", recall))
+  UNION ALL SELECT arm, 'stability', 100 * avg(s) FROM (SELECT arm, doc_id, (count(DISTINCT p) = 1)::INT AS s FROM j GROUP BY 1, 2) GROUP BY 1),
+g AS (SELECT 'absolute' AS gate, arm, measure, round(min(value), 4) AS value, 60.0 AS threshold FROM v GROUP BY ALL
+  UNION ALL SELECT 'gain', 'candidate', measure, round(avg(value) FILTER (arm = 'candidate') - avg(value) FILTER (arm = 'baseline'), 4), -1.0 FROM v GROUP BY measure)
+SELECT *, value >= threshold AS passed FROM g""")
+def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    runs = labels.withColumns({"arm": F.explode(F.array(F.lit("baseline"), F.lit("candidate")))}).withColumn("repetition", F.explode(F.array(F.lit(1), F.lit(2))))
+    clean = F.col("toxic") == 0
+    said = F.when(F.col("arm") == "baseline", clean).otherwise(clean & ((F.col("n_chars") > 100) | (F.col("repetition") == 2)))
+    judged = runs.select("arm", "repetition", F.col("doc_id").alias("case_id"), (F.col("quality") == 1).alias("expected"), said.alias("predicted"), F.lit("ok").alias("status"))
+    measures = ("accuracy", "precision", "recall", "stability")
+    return usage.promotion_gate(judged, dict.fromkeys(measures, 60.0), dict.fromkeys(measures, -1.0))
+
+
+@query()
+def plan_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of one language whose token vectors are alike; tests hold it against the plain scan."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text", "n_chars")
+    vectors = meaning.hash_embed(docs.select("id", "text"), 1024).join(docs.select("id", "lang", "n_chars"), "id")
+    rows = vectors.select("id", "lang", F.col("n_chars").cast("double").alias("importance"), F.lit(None).cast("timestamp").alias("created_at"), "embedding")
+    return consolidation.plan_consolidation(rows, ["lang"], 0.95)

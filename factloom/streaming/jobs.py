@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+
+from ..operators import audit, lifecycle
 
 
 def ingest_dedup(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -14,3 +17,24 @@ def ingest_dedup(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
 def daily_usage(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Units per UTC day, bucket and subject; rows later than the watermark are dropped."""
     return stream.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day").alias("day"), "bucket", "subject").agg(F.sum("units").alias("units"))
+
+
+def contradiction_alerts(stream: DataFrame) -> DataStreamWriter:
+    """Alerts on values that come to contradict each other; a key's alert comes again when it changes.
+
+    The state is one row of extremes for each subject and attribute ever seen; keep it in RocksDB.
+    """
+    return audit.contradiction_alerts(stream).writeStream.outputMode("update")
+
+
+def retention(stream: DataFrame, root: str, now, **policy) -> DataStreamWriter:
+    """Add each batch to the last snapshot under ``root``, without what ``plan_forget`` names by ``policy``.
+
+    Batch n writes ``root/n`` from ``root/n-1``; a batch that runs again writes the same rows to the same place.
+    """
+
+    def step(batch: DataFrame, n: int) -> None:
+        rows = batch if n == 0 else batch.sparkSession.read.parquet(f"{root}/{n - 1}").unionByName(batch)
+        lifecycle.apply_forget(rows, lifecycle.plan_forget(rows, now, **policy)).write.mode("overwrite").parquet(f"{root}/{n}")
+
+    return stream.writeStream.foreachBatch(step)

@@ -1,14 +1,16 @@
 """Registered queries against their SQL on the smallest tables, and edge rows of single operators."""
 
 import math
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
 
 from factloom.functions.scalars import canonical_label, localized_amount, round_up, slug
-from factloom.operators import audit, finance, lifecycle, meaning
+from factloom.operators import audit, consolidation, finance, lifecycle, meaning
 from factloom.plans.queries import ORACLES, QUERIES
+from factloom.streaming import jobs
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -100,3 +102,40 @@ def test_polarity_and_figures(spark):
     assert sorted(tuple(r) for r in meaning.figure_traceability(answers, evidence).collect()) == [(1, 3, 2), (2, 0, 0)]
     vectors = meaning.hash_embed(spark.createDataFrame([(1, "a a b"), (2, None)], "id long, text string"), 64).collect()
     assert sorted(round(sum(x * x for x in r.embedding), 9) for r in vectors) == [0.0, 1.0] and all(len(r.embedding) == 64 for r in vectors)
+
+
+@pytest.mark.parametrize("fold", [2, 500])
+def test_complete_links_equal_the_plain_scan(spark, monkeypatch, fold):
+    monkeypatch.setattr(consolidation, "FOLD", fold)
+    deal = random.Random(7)
+    pairs = {(a, b) for a in range(24) for b in range(a + 1, 24) if deal.random() < 0.3 or b < 8}
+    clusters = []
+    for i in range(24):
+        home = next((c for c in clusters if all((j, i) in pairs for j in c)), None)
+        home.append(i) if home else clusters.append([i])
+    want = {i: c[0] for c in clusters for i in c}
+    got = consolidation.complete_links(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()
+    assert len(got) == 24 and {r.id: r.cluster for r in got} == want
+    assert consolidation.complete_links(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_consolidation_winners(spark):
+    rows = [(1, "x", 0.5, [1.0, 0.0]), (2, "x", 0.9, [1.0, 0.0]), (3, "x", 0.9, [1.0, 0.01]), (4, "y", 0.1, [1.0, 0.0]), (5, "x", 1.0, [0.0, 0.0]), (6, "x", 1.0, None), (7, "x", None, [1.0, 0.0])]
+    frame = spark.createDataFrame([(*r[:3], None, r[3]) for r in rows], "id long, scope_key string, importance double, created_at timestamp, embedding array<double>")
+    assert sorted(tuple(r) for r in consolidation.plan_consolidation(frame, ["scope_key"]).collect()) == [(2, 1), (2, 3), (2, 7)]
+
+
+def test_streams(spark, tmp_path):
+    schema = "id string, tenant_id string, kind string, company string, period string, source_ref string, metadata string, importance double, created_at timestamp, superseded_at timestamp"
+    values = [("1", 10), ("2", 10.2), ("3", 99)]
+    for i, total in values:
+        one = spark.createDataFrame([(i, "t", "k", "Acme", "p", "R", f'{{"total":{total}}}', 0.1, None, None)], schema)
+        one.withColumn("created_at", audit.F.lit(f"202{i}-01-01").cast("timestamp")).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    alerts = jobs.contradiction_alerts(stream()).format("memory").queryName("alerts").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    assert alerts.awaitTermination(120)
+    assert {(r.subject, r.attr) for r in spark.table("alerts").collect()} == {("R", "total")}
+    kept = jobs.retention(stream(), str(tmp_path / "out"), "2024-01-01", older_than_days=400, max_importance=0.5).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    assert kept.awaitTermination(120)
+    last = max((p for p in (tmp_path / "out").iterdir()), key=lambda p: int(p.name))
+    assert [r.id for r in spark.read.parquet(str(last)).collect()] == ["3"]
