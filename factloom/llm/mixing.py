@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shared_path
 
 #: Bound of the labelled sample, documents a domain, and telling words that are known of each domain.
 DOCS_PER_DOMAIN, WORDS_PER_DOMAIN = 300, 100
@@ -24,6 +24,8 @@ SHARPNESS = 30.0
 #: Domain weights are the domains' natural shares to this power, unless weights are given.
 TEMPERATURE = 0.7
 STEPS, TOLERANCE = 200, 1e-6
+#: Steps after which the fit writes the rates so far, so that no plan names more steps than these.
+STORED_EVERY = 10
 _SPACE = r"[\x20\x09-\x0D]"
 
 
@@ -106,7 +108,8 @@ def fit_rates(members: DataFrame, k: int, weights: Sequence[float] | None = None
     ``members`` has __rows, __n and __p. The objective is sum((expected - target)^2 / natural) / 2 and
     the gradient is taken in token units, so its matrix has no eigenvalue above 1 and steps of length
     1 converge. A document's rate after all steps is a fold of the returned vectors over its
-    posterior, so rates are never stored or sent. Targets are in proportion to ``weights`` and so
+    posterior. The fit itself writes the rates of every tenth step as a table of tokens, posterior and
+    rate, so that the plan of a step does not grow with the steps before. Targets are in proportion to ``weights`` and so
     large that no domain has to shrink.
     """
     totals = lambda r: [F.sum(r * F.col("__rows") * F.col("__n") * F.get("__p", F.lit(i))).alias(f"t{i}") for i in range(k)]
@@ -117,29 +120,37 @@ def fit_rates(members: DataFrame, k: int, weights: Sequence[float] | None = None
     scale = max(n / w for n, w in zip(natural, weights, strict=True) if w > 0)
     targets = [w * scale if n > 0 else 0.0 for w, n in zip(weights, natural, strict=True)]
     steps: list[list[float]] = []
+    fresh: list[list[float]] = []
+    state = members.select("__rows", "__n", "__p", F.lit(1.0).alias("__rate"))
     expected = natural
     for _ in range(STEPS):
         step = [(e - t) / n if n > 0 else 0.0 for e, t, n in zip(expected, targets, natural, strict=True)]
         if max(map(abs, step)) < TOLERANCE:
             break
+        if len(fresh) == STORED_EVERY:
+            path = shared_path(members.sparkSession, "rates")
+            state.withColumn("__rate", rate(fresh, least, F.col("__rate"))).write.parquet(path)
+            state, fresh = members.sparkSession.read.parquet(path), []
         steps.append(step)
-        before, expected = expected, [float(x or 0.0) for x in members.agg(*totals(rate(steps, least))).first()]
+        fresh.append(step)
+        before, expected = expected, [float(x or 0.0) for x in state.agg(*totals(rate(fresh, least, F.col("__rate")))).first()]
         if max(abs(b - e) / t for b, e, t in zip(before, expected, targets, strict=True) if t > 0) < TOLERANCE:
             break  # projection holds the rest
     return steps, natural, targets
 
 
-def rate(steps: list[list[float]], least: float = 0.0) -> Column:
-    """The rate of a document: from 1, each step moves against the gradient and projects to ``least`` or more."""
+def rate(steps: list[list[float]], least: float = 0.0, start: Column | None = None) -> Column:
+    """The rate of a document: from ``start`` (1), each step moves against the gradient and projects to ``least`` or more."""
+    start = F.lit(1.0) if start is None else start
     if not steps:
-        return F.lit(1.0)
+        return start
     folded = F.expr("array(" + ",".join(_numbers(step) for step in steps) + ")")
 
     def move(r: Column, step: Column) -> Column:
         along = F.aggregate(F.zip_with(F.col("__p"), step, lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)
         return F.greatest(F.lit(float(least)), r - along)
 
-    return F.aggregate(folded, F.lit(1.0), move)
+    return F.aggregate(folded, start, move)
 
 
 def _rated(docs: DataFrame, domain: str, weights: dict[str, float] | None, least: float) -> tuple[DataFrame, list[str]]:
