@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -129,6 +130,32 @@ def test_exact_duplicates(spark, hash_bits):
     assert exact_dedup.exact_duplicates(frame(spark, []), hash_bits=hash_bits).count() == 0
 
 
+@pytest.mark.parametrize("hash_bits", [64, 3])
+def test_exact_index_decides_by_bucket(spark, hash_bits):
+    texts = [f"text {i % 40}" for i in range(120)] + ["hot"] * 60
+    docs = frame(spark, texts).repartition(6)
+    rows = exact_dedup.build_index(docs, capacity=4, hash_bits=hash_bits).withColumn("task", F.col("_metadata.file_name")).collect()
+    assert sorted(i for r in rows for i in r.doc_ids) == list(range(len(texts)))
+    tasks, chains = {}, {}
+    for r in rows:
+        tasks.setdefault(r.bucket, set()).add(r.task)
+        chains.setdefault(r.key, {})[r.chain] = r.chain_length
+        assert {texts[i] for i in r.doc_ids} == {texts[r.keep_id]}
+    assert len(tasks) > 1 and all(len(names) == 1 for names in tasks.values())
+    assert all(sorted(chain) == list(range(1, len(chain) + 1)) and set(chain.values()) == {len(chain)} for chain in chains.values())
+    assert len(chains) == 41 if hash_bits == 64 else max(map(len, chains.values())) > 1
+
+
+def test_exact_owner_compares_bytes(monkeypatch):
+    """Texts of one hash and, here, one digest stay apart."""
+    digest = type("Digest", (), {"hexdigest": lambda self: "same"})
+    monkeypatch.setattr(exact_dedup.hashlib, "sha256", lambda text: digest())
+    batches = [pa.RecordBatch.from_pydict({"owner": [0] * 2, "bucket": [3] * 2, "local_depth": [1] * 2, "key": [7, 7], "text": [b"a", text], "doc_ids": [[at], [None, at + 1]]}) for at, text in ((1, b"b"), (5, b"a"))]
+    found = pa.Table.from_batches(exact_dedup.chain_entries(iter(batches))).to_pylist()
+    assert sorted((r["chain"], r["chain_length"], r["keep_id"], r["group_size"], tuple(r["doc_ids"])) for r in found if r["chain"] == 2) == [(2, 2, 2, 2, (None, 2))]
+    assert [(r["chain"], r["keep_id"], r["group_size"]) for r in found if r["chain"] == 1] == [(1, 6, 4)] * 3
+
+
 def test_directory_doubles_until_buckets_fit():
     histogram = {0: 5, 1: 5, 2: 1, 7: 1}
     directory = exact_dedup.build_directory(histogram, capacity=5, max_depth=3)
