@@ -126,8 +126,20 @@ def rerank(hits: DataFrame, scores: DataFrame) -> DataFrame:
 
 def ir_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """Recall@k, reciprocal rank and nDCG@k of each query with gold: ranked (query_id, id, rank)."""
-    sizes = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
-    hits = ranked.join(gold, ["query_id", "id"])
+    return _metrics(gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold")), ranked.join(gold, ["query_id", "id"]), k)
+
+
+def ir_metrics_by_label(ranked: DataFrame, queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """The same where the gold of a query is every row of its label: queries (query_id, label), corpus (id, label).
+
+    Gold is counted by label and only ranked rows are joined, so no list of pairs is made. A null label has no gold.
+    """
+    counts = corpus.groupBy("label").agg(F.count(F.lit(1)).alias("n_gold"))
+    labelled = ranked.join(queries, "query_id").join(corpus.select("id", F.col("label").alias("found")), "id")
+    return _metrics(queries.join(counts, "label").select("query_id", "n_gold"), labelled.where("label = found"), k)
+
+
+def _metrics(sizes: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     found = hits.groupBy("query_id").agg(
         F.count_if(F.col("rank") <= k).alias("hits"), F.min("rank").alias("first"),
         F.sum(F.when(F.col("rank") <= k, 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),

@@ -184,6 +184,16 @@ def lexical_conjunctive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.lexical_conjunctive(docs, asked).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_documents"), F.min("id").alias("first_id"))
 
 
+@query(f"""
+WITH d AS (SELECT doc_id AS id, list_distinct({_TOKENS.format('text')}) AS t FROM documents),
+q AS (SELECT conv_id * 1000 + turn AS query_id, list_distinct({_TOKENS.format('text')}) AS t FROM conversations WHERE conv_id % 100 = 0)
+SELECT query_id, count(*) AS n_documents, min(id) AS first_id FROM q JOIN d ON list_has_all(d.t, q.t) WHERE len(q.t) > 0 GROUP BY 1""")
+def lexical_conjunctive_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct term of a question must match; ``lexical_conjunctive`` asks for the first three only."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return retrieval.lexical_conjunctive(docs, _questions(spark, sf_dir)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_documents"), F.min("id").alias("first_id"))
+
+
 @query(f"""
 WITH d AS (SELECT doc_id, {_TOKENS.format('text')} AS t FROM documents)
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY 1""")
@@ -244,6 +254,21 @@ def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", *[F.round(c, 6).alias(c) for c in ("recall", "reciprocal_rank", "ndcg")])
 
 
+@query(f"""
+WITH r AS ({_knn_sql("q.embedding::DOUBLE[]", 10)}),
+g AS (SELECT q.vec_id AS query_id, e.vec_id AS id FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 100 = 0),
+n AS (SELECT query_id, count(*) AS n FROM g GROUP BY 1),
+h AS (SELECT query_id, count(*) FILTER (rank <= 5) AS hits, min(rank) AS first, sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM r JOIN g USING (query_id, id) GROUP BY 1)
+SELECT query_id, round(coalesce(hits / n, 0), 6) AS recall, round(coalesce(1.0 / first, 0), 6) AS reciprocal_rank,
+  round(coalesce(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, 5)::BIGINT + 1) t(i)), 0), 6) AS ndcg FROM n LEFT JOIN h USING (query_id)""")
+def ir_metrics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold is every vector of the query's label; ``ir_metrics`` takes every fiftieth only."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    found = retrieval.ir_metrics_by_label(retrieval.knn_dense(*_vectors(spark, sf_dir), 10), asked, rows.select(F.col("vec_id").alias("id"), "label"), 5)
+    return found.select("query_id", *[F.round(c, 6).alias(c) for c in ("recall", "reciprocal_rank", "ndcg")])
+
+
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'conflict' WHEN o_orderkey % 2 = 0 THEN 'replay' ELSE 'insert' END AS state FROM orders""")
 def idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from factloom.functions.scalars import canonical_label, localized_amount, round_up, slug
-from factloom.operators import audit, consolidation, finance, lifecycle, meaning
+from factloom.operators import audit, consolidation, finance, lifecycle, meaning, retrieval
 from factloom.plans.queries import ORACLES, QUERIES
 from factloom.streaming import jobs
 
@@ -139,3 +139,20 @@ def test_streams(spark, tmp_path):
     assert kept.awaitTermination(120)
     last = max((p for p in (tmp_path / "out").iterdir()), key=lambda p: int(p.name))
     assert [r.id for r in spark.read.parquet(str(last)).collect()] == ["3"]
+
+
+def test_conjunctive_asks_for_every_term(spark, tmp_path):
+    """The first question's fourth term decides; repeated terms count once."""
+    spark.createDataFrame([(1, "a b c d"), (2, "a b c"), (3, "d c b a e"), (4, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(100, 1, "a b c d a"), (100, 2, "a b c z"), (100, 3, None), (7, 1, "a")], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [tuple(r) for r in QUERIES["lexical_conjunctive_all"](spark, str(tmp_path)).collect()] == [(100001, 2, 1)]
+
+
+def test_metrics_count_all_gold(spark):
+    ranked = spark.createDataFrame([(0, 0, 1), (0, 3, 2), (0, 1, 3), (100, 2, 1), (200, 4, 1)], "query_id long, id long, rank int")
+    corpus = spark.createDataFrame([(0, "x"), (1, "x"), (2, "x"), (3, "y"), (4, None), *[(i, "x") for i in range(5, 11)]], "id long, label string")
+    asked = spark.createDataFrame([(0, "x"), (100, "y"), (200, None)], "query_id long, label string")
+    found = {r.query_id: r for r in retrieval.ir_metrics_by_label(ranked, asked, corpus, 5).collect()}
+    pairs = asked.join(corpus, "label").select("query_id", "id")
+    assert found == {r.query_id: r for r in retrieval.ir_metrics(ranked, pairs, 5).collect()}
+    assert set(found) == {0, 100} and found[0].recall == 2 / 9 and found[100].recall == 0
