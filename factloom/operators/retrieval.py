@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import groups
-from ..functions.scalars import tokens
+from ..functions.scalars import cosine, tokens
 
 K1, B, RRF = 1.5, 0.75, 60
 BLOCK = 2048
@@ -89,6 +89,29 @@ def lexical_conjunctive(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return asked.join(held, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("found")).join(needed, "query_id").where("found = needed").select("query_id", "id")
 
 
+def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """BM25 top-k: query_id, id, score, rank; documents that share no term score 0 and fill up by id."""
+    scored = bm25(docs, queries).withColumn("score", F.round("score", 9))
+    # Where fewer than k documents are scored, the k smallest ids hold all that are needed.
+    padding = docs.select("id").orderBy("id").limit(k).crossJoin(queries.select("query_id")).join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    return top_k(scored.unionByName(padding.withColumn("score", F.lit(0.0))), k)
+
+
+def hybrid(docs: DataFrame, queries: DataFrame, k: int, pool: int = 20) -> DataFrame:
+    """RRF of a dense and a BM25 top ``pool``: docs (id, text, embedding) by queries (query_id, text, embedding)."""
+    dense = knn_dense(docs.select("id", "embedding"), queries.select("query_id", "embedding"), pool)
+    lexical = lexical_top_k(docs.select("id", "text"), queries.select("query_id", "text"), pool)
+    return top_k(rrf(dense, lexical).withColumn("score", F.round("score", 9)), k)
+
+
+def hybrid_mmr(docs: DataFrame, queries: DataFrame, k: int, pool: int = 20, weight: float = 0.7) -> DataFrame:
+    """MMR over the hybrid pool; relevance is the cosine to the query, also of documents that only BM25 found."""
+    fused = hybrid(docs, queries, pool, pool).select("query_id", "id", "rank")
+    asked = queries.select("query_id", F.col("embedding").alias("asked"))
+    held = fused.join(docs.select("id", "embedding"), "id").join(asked, "query_id")
+    return mmr(held.withColumn("score", F.round(cosine(F.col("asked"), F.col("embedding")), 9)).drop("asked"), k, weight)
+
+
 def rrf(*pools: DataFrame) -> DataFrame:
     """Reciprocal-rank fusion of (query_id, id, rank) pools."""
     union = pools[0].select("query_id", "id", "rank")

@@ -236,8 +236,11 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def retrieve_hybrid_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus, asked = _vectors(spark, sf_dir)
-    return retrieval.mmr(retrieval.knn_dense(corpus, asked, 20).join(corpus, "id"), 5)
+    """Questions to documents, by token vectors and BM25; tests hold it against brute force."""
+    docs, asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), _questions(spark, sf_dir)
+    vectors = meaning.hash_embed(docs, 256)
+    questions = meaning.hash_embed(asked.withColumnRenamed("query_id", "id"), 256).withColumnRenamed("id", "query_id")
+    return retrieval.hybrid_mmr(docs.join(vectors, "id"), asked.join(questions, "query_id"), 5)
 
 
 @query(f"""

@@ -156,3 +156,59 @@ def test_metrics_count_all_gold(spark):
     pairs = asked.join(corpus, "label").select("query_id", "id")
     assert found == {r.query_id: r for r in retrieval.ir_metrics(ranked, pairs, 5).collect()}
     assert set(found) == {0, 100} and found[0].recall == 2 / 9 and found[100].recall == 0
+
+
+def test_hybrid_pools_equal_brute_force(spark, tmp_path):
+    """Two pools of 20 and the choice of 5, by a plain scan. Of the last question, BM25 alone finds document 95."""
+    deal = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    texts = {i: " ".join(deal.choices(words, k=deal.randint(1, 25))) for i in range(60)} | {60: None, 61: "rare " + "w1 " * 80, 95: "rare zeta"} | {i: "hub" for i in range(70, 95)}
+    asked = {100001: "rare w2 w3", 100002: "w4 w5 w5 w6 w7", 200001: "nothing", 200002: "rare", 300001: "hub rare"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(q // 1000, q % 1000, t) for q, t in asked.items()], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+
+    def bucket(word):
+        h = 2166136261
+        for c in word:
+            h = (h ^ ord(c)) * 16777619 % 2**32
+        return min(h, 2**32 - h) % 256
+
+    def vector(text):
+        v = [0.0] * 256
+        for word in (text or "").split():
+            v[bucket(word)] += 1
+        size = math.sqrt(sum(x * x for x in v)) or 1
+        return [x / size for x in v]
+
+    split = {i: (t or "").split() for i, t in texts.items()}
+    average = sum(map(len, split.values())) / len(split)
+    vectors = {i: vector(t) for i, t in texts.items()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+
+    def score(question, own):
+        total = 0.0
+        for term in question.split():
+            tf, df = own.count(term), sum(term in other for other in split.values())
+            total += math.log(1 + (len(split) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(own) / average))
+        return round(total, 9)
+
+    want, dense_only = {}, {}
+    first = lambda scores, k: sorted(scores, key=lambda i: (-scores[i], i))[:k]
+    for query, text in asked.items():
+        near = {i: round(dot(vector(text), v), 9) for i, v in vectors.items()}
+        dense, lexical = first(near, 20), first({i: score(text, own) for i, own in split.items()}, 20)
+        fused = {i: round(sum(1 / (61 + pool.index(i)) for pool in (dense, lexical) if i in pool), 9) for i in {*dense, *lexical}}
+
+        def choose(left):
+            out = []
+            while len(out) < 5:
+                gains = [0.7 * near[i] - 0.3 * max([0.0, *(dot(vectors[i], vectors[j]) for j in out)]) for i in left]
+                out.append(left.pop(max(range(len(left)), key=lambda at: (round(gains[at], 9), -at))))
+            return out
+
+        want[query], dense_only[query] = choose(first(fused, 20)), choose(dense)
+    got = {}
+    for r in sorted(QUERIES["retrieve_hybrid_mmr"](spark, str(tmp_path)).collect()):
+        got.setdefault(r.query_id, {})[r.rank] = r.id
+    assert {q: [ids[rank] for rank in range(1, 6)] for q, ids in got.items()} == want
+    assert 95 in want[300001] and 95 not in dense_only[300001]
