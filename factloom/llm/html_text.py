@@ -16,19 +16,22 @@ from .decision_tree import Node, grow, positive
 
 # HTML element names and words of class and id attributes.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-SILENT = ("script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "head", "title", "button", "select")
+RAW = ("script", "style", "textarea", "title")  # up to their end tag or the end of the page
+SILENT = frozenset(("noscript", "template", "svg", "math", "iframe", "object", "button", "select"))  # up to their end tag, if there is one
 AROUND = frozenset("nav header footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HINT = regex.compile(r"(?<![a-z])(ads?|advert\w*|adslot|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|comment-?list|disqus|replies|reply|respond|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|copyright|legal|disclaimer)(?![a-z])", regex.I)
 
 _TOKEN = regex.compile(
-    r"<!--.*?(?:-->|$)|<(?P<silent>" + "|".join(SILENT) + r")(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=silent)\s*>|$)|<![^>]*>|<\?[^>]*>"
+    r"<!--.*?(?:-->|$)|(?P<start><(?P<raw>" + "|".join(RAW) + r")(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>).*?(?:</(?P=raw)\s*>|$)|<![^>]*>|<\?[^>]*>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>",
     regex.S | regex.I,
 )
 _NAMED = regex.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", regex.I)
 _HIDDEN = regex.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", regex.I)
 _TELLING = regex.compile(r"class|id|role|hidden|style|data-label", regex.I)
+_CLOSED = regex.compile(r"/\s*>?$")
+_UNQUOTED = regex.compile(r"=\s*[^\s\"'>]+>?$")
 _LABEL = regex.compile(r'data-label="([01])"')
 
 
@@ -50,6 +53,43 @@ class TextBlock:
         return self.linked / self.words if self.words else 0.0
 
 
+def self_closed(tag: str) -> bool:
+    """Whether a start tag, or its attributes, end in a slash that is no part of an unquoted value."""
+    return bool(_CLOSED.search(tag)) and not _UNQUOTED.search(tag)
+
+
+def markup(page: str) -> list[tuple[regex.Match, int]]:
+    """The tags and comments outside of silent elements, each with the place where text goes on after it.
+
+    An end tag belongs to the last open silent element of its name. Self-closed svg and math are empty, and so
+    are self-closed elements inside them; of a silent element that is never closed only the tag is left out.
+    """
+    found: list[tuple[regex.Match, int]] = []
+    opened: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    at = 0
+    while match := _TOKEN.search(page, at):
+        at = match.end()
+        if match["raw"] is not None:
+            if (opened.get("svg") or opened.get("math")) and self_closed(match["start"]):
+                at = match.end("start")
+        elif match["name"] is not None and (name := match["name"].lower()) in SILENT:
+            if match["close"]:
+                if opened.get(name):
+                    ends[opened[name].pop()] = at
+            elif not (name in ("svg", "math") and self_closed(match["attrs"])):
+                opened.setdefault(name, []).append(match.start())
+        found.append((match, at))
+    if not ends:
+        return found
+    kept, until = [], 0
+    for match, stop in found:
+        if match.start() >= until:
+            until = ends.get(match.start(), stop)
+            kept.append((match, until))
+    return kept
+
+
 def text_blocks(page: str) -> list[TextBlock]:
     """The page as flat blocks. Open elements are kept on a stack, which an end tag cuts back to its match."""
     blocks: list[TextBlock] = []
@@ -86,17 +126,21 @@ def text_blocks(page: str) -> list[TextBlock]:
             if opened.get("a"):
                 linked += len(text.split())
 
-    for match in _TOKEN.finditer(page):
-        start, stop = match.span()
+    for match, stop in markup(page):
+        start = match.start()
         if start > at:
             add(page[at:start])
         at = stop
         name = match["name"]
         if name is None:
-            if match["silent"] is not None and match["silent"].lower() in ("head", "title", "select"):
+            if match["raw"] is not None and match["raw"].lower() == "title":
                 end_block()
             continue
         name = name.lower()
+        if name in SILENT or name == "head":  # a head has no text but that of its own silent elements
+            if name in ("head", "select"):
+                end_block()
+            continue
         if name == "br":
             parts.append(" ")
             continue
@@ -182,8 +226,9 @@ def main_text(page: str | None, tree: Node) -> str:
 def extract(pages: DataFrame, labelled_pages: list[str] | None = None) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
-    The whole html is read and no block is cut. A null or empty page gives an empty text; markup that
-    is never closed ends with the page. Repeated pages give repeated rows; page_id and url may be null
+    The whole html is read and no block is cut. A null or empty page gives an empty text. Scripts, styles,
+    textareas, titles and comments that are never closed end with the page; of other elements without an
+    end tag the text is read. Repeated pages give repeated rows; page_id and url may be null
     and other columns are not read. An empty table gives no rows. ``labelled_pages`` replaces the
     labelled table that the tree learns from.
     """

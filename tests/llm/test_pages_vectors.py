@@ -51,6 +51,24 @@ def test_main_text(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+OPEN = ["<html><head><title>x</title><meta charset=utf-8><body>@", "<head><title>x</title>@", "<head><style>b</style></head>@", "<body><svg width='1'/>@", "<body><svg/>@<svg><path/></svg>", "<body><math/>@",
+        "<body><button>@", "<body><button>@<button>Go</button>", "<body><object data=a>@", "<body><noscript>@", "<body><select></select>@", "<body><iframe src=a>@", "<body><svg><title/><g><svg>in</svg>out</g></svg>@",
+        "<body><!-- <svg> -->@</svg>", "<body><template><p>no</template>@", "<body><svg><style>a</style><text>no</text></svg>@", "<body><svg xmlns=http://a/>no</svg>@"]
+
+
+@pytest.mark.parametrize("page", OPEN)
+def test_text_after_open_elements(page):
+    text = "<article><p>The wind rose at noon and by three the boats had all come home.</p></article>"
+    assert [b.text for b in html_text.text_blocks(page.replace("@", text))][:1] == ["The wind rose at noon and by three the boats had all come home."]
+    assert html_text.main_text(page.replace("@", text), html_text.train()).startswith("The wind rose at noon")
+
+
+def test_select_without_end_and_raw_to_the_end():
+    read = lambda page: [b.text for b in html_text.text_blocks(page)]
+    assert read("<body><select><option>A<article><p>Text") == ["A", "Text"]
+    assert [read(f"<p>a<{name}>b<p>c") for name in html_text.RAW] == [["a"]] * 4 and read("<p>a<!-- b <p>c") == ["a"]
+
+
 def vectors():
     rng = np.random.default_rng(4)
     rows = []
