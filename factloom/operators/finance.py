@@ -1,4 +1,4 @@
-"""Document fusion, payroll integrity, validation rules and currency-safe profit and loss."""
+"""Document fusion, payroll gaps, validation rules and currency-safe profit and loss."""
 
 from __future__ import annotations
 
