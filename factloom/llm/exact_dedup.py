@@ -199,6 +199,10 @@ def exact_duplicates(docs: DataFrame, capacity: int = 100_000, hash_bits: int =
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without the rows that ``exact_duplicates`` drops; columns unchanged."""
-    dropped = exact_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
-    return docs.join(dropped.groupBy("doc_id").agg(F.lit(1).alias("one")).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """The documents without the rows that ``exact_duplicates`` drops; columns unchanged.
+
+    A row is dropped by its doc_id, null or not, and its text, so that another text of that doc_id stays.
+    """
+    dropped = exact_duplicates(docs).where(~F.col("kept")).groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__text")).agg(F.lit(1).alias("one"))
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__text")), "left_anti").select(docs.columns)

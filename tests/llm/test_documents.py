@@ -146,6 +146,12 @@ def test_exact_index_decides_by_bucket(spark, hash_bits):
     assert len(chains) == 41 if hash_bits == 64 else max(map(len, chains.values())) > 1
 
 
+def test_exact_drops_rows_not_doc_ids(spark):
+    rows = [(1, "A"), (1, "B"), (2, "A"), (None, "A"), (None, "C"), (None, None), (3, ""), (4, "D"), (4, "D")]
+    kept = exact_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, "B"), (2, "A"), (None, "C"), (3, ""), (4, "D"), (4, "D")], key=str)
+
+
 def test_exact_owner_compares_bytes(monkeypatch):
     """Texts of one hash and, here, one digest stay apart."""
     digest = type("Digest", (), {"hexdigest": lambda self: "same"})
