@@ -134,7 +134,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     dealt = full.repartition(partitions(spark), *group).sortWithinPartitions(*group)
     found = materialize(dealt.select(*group, "own", "rep", "times", "vector", "codes").mapInPandas(_grouped(threshold), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    components = materialize(connected_components(found.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b"))))
+    components = connected_components(found.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b")))
 
     copies = materialize(packed.where("times > 1").select("label", "same", "rep", "times"))
     named = rows.select("vec_id", "label", "same").join(copies, ["label", "same"], "left")

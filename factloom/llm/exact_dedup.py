@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_path
+from .common import partitions, shared_path, without
 
 #: The directory never has more than 2 ** MAX_DEPTH pointers, whatever the size of the corpus.
 MAX_DEPTH = 14
@@ -203,6 +203,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     A row is dropped by its doc_id, null or not, and its text, so that another text of that doc_id stays.
     """
-    dropped = exact_duplicates(docs).where(~F.col("kept")).groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__text")).agg(F.lit(1).alias("one"))
-    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__text")), "left_anti").select(docs.columns)
+    dropped = exact_duplicates(docs).where(~F.col("kept")).select("doc_id", "text_sha256")
+    return without(docs, dropped, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))

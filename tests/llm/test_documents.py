@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from factloom.llm import bpe, exact_dedup, hashing, language_id, mixing, near_dedup, quality, setsketch, sharding
+from factloom.llm import bpe, common, exact_dedup, hashing, language_id, mixing, near_dedup, quality, setsketch, sharding
 from factloom.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, kept int, band int"
@@ -67,10 +67,10 @@ def variants(seed=3):
     return texts
 
 
-@pytest.mark.parametrize("paired", [48, 2])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, paired):
-    monkeypatch.setattr(near_dedup, "PAIRED", paired)
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+@pytest.mark.parametrize("block", [1000, 4])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "AT_ONCE", 7)
     texts = EDGE + variants() + ["a b c d e f"] * 5
     want, sizes = near_truth(texts, 2, 80)
     rows = near_dedup.near_duplicates(frame(spark, texts), 2, 80).collect()
@@ -88,6 +88,36 @@ def test_near_duplicates_edge_tables(spark):
     assert near_dedup.keep_one(docs).columns == docs.columns
 
 
+def test_near_copies_drop_rows_not_doc_ids(spark):
+    base = "a b c d e f g h i j k l m n o p q r s t u v w x y z 1 2 3 4 5 6 7 8 9"
+    rows = [(9, base), (9, "nothing like the others at all"), (5, base + " 0"), (5, base + " 0"), (7, "quite another text which is alone"), (7, "quite another text which is Alone"), (None, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, 2, 80).collect())
+    assert found == sorted([(9, 34, 5, False), (9, 5, 9, True), (5, 35, 5, True), (5, 35, 5, True), (7, 5, 7, True), (7, 5, 7, True), (-1, 34, None, True)])
+    kept = near_dedup.keep_one(docs, 2, 80).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([r for r in rows if r != (9, base)], key=str)
+    two = spark.createDataFrame([(9, base), (9, base + " 0"), (3, "x")], "doc_id long, text string")
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(two, 2, 80).collect())
+    assert found == [(3, 3, True), (9, 9, False), (9, 9, True)]
+
+
+def test_bitmaps_lose_no_key(spark, monkeypatch):
+    rows = spark.range(5000).withColumnRenamed("id", "doc_id")
+    keys = rows.where("doc_id % 10 = 3")
+    marked = common.maybe_in(rows, "doc_id", keys)
+    assert marked.join(keys, "doc_id", "left_semi").count() == 500 and marked.count() < 700
+    assert common.maybe_in(rows, "doc_id", keys.limit(0)).count() == 0
+    monkeypatch.setattr(common, "MOST_BITS", 1)
+    assert common.maybe_in(rows, "doc_id", rows).count() == 5000
+
+
+def test_packed_sets_come_back():
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 1000):
+        x = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        assert (near_dedup.unpack(near_dedup.pack(x)) == x).all()
+
+
 def test_shared_counts_are_exact():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, 30)).astype(np.uint64) for _ in range(12)]
@@ -110,9 +140,10 @@ def test_words_and_sketches():
 
 
 def test_components_of_a_chain_and_a_star(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (5, 4)]
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (5, 4)] + [(300, i) for i in range(200, 240)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[i] == 0 for i in range(1, 41)) and all(found[i] == 100 for i in range(101, 140)) and 0 not in found
+    assert all(found[i] == 200 for i in [*range(201, 240), 300]) and len(found) == 40 + 39 + 40
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
