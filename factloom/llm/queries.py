@@ -15,12 +15,9 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each input file arrives in turn; the rows are read back from the compacted store."""
-    docs = table(spark, sf_dir, "documents")
-    files = sorted(docs.inputFiles())
-    arrivals = [spark.read.schema(docs.schema).parquet(path) for path in files] or [docs]
+    """The table arrives in twelve parts of unequal size; the rows are read back from the compacted store."""
     store = sharding.ShardStore(spark, shared_path(spark, "shards"))
-    rows = sharding.store_arrivals(store, arrivals)
+    rows = sharding.store_dealt(store, table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
