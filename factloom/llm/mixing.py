@@ -3,7 +3,7 @@
 A naive Bayes classifier, whose tables come from labelled rows, gives each document a posterior over
 the domains. Document rates r >= 0 are then fitted so that the expected tokens of each domain,
 sum(r * tokens * posterior), meet the targets: projected-gradient least squares whose only
-communication is one sum per domain and step.
+communication is a few sums for each pair of domains and step.
 """
 
 from __future__ import annotations
@@ -11,11 +11,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path
+from .common import Scratch
 
 #: Bound of the labelled sample, documents a domain, and telling words that are known of each domain.
 DOCS_PER_DOMAIN, WORDS_PER_DOMAIN = 300, 100
@@ -23,9 +26,10 @@ DOCS_PER_DOMAIN, WORDS_PER_DOMAIN = 300, 100
 SHARPNESS = 30.0
 #: Domain weights are the domains' natural shares to this power, unless weights are given.
 TEMPERATURE = 0.7
-STEPS, TOLERANCE = 200, 1e-6
-#: Steps after which the fit writes the rates so far, so that no plan names more steps than these.
-STORED_EVERY = 10
+#: Targets count as met within this share of them, totals as standing still by the other; passes that a fit may need.
+MET, STILL, PASSES = 5e-4, 1e-7, 500
+#: Decimal places of posteriors. Documents of one rounded posterior share a rate.
+PLACES = 4
 _SPACE = r"[\x20\x09-\x0D]"
 
 
@@ -55,17 +59,17 @@ def train(labelled: DataFrame, docs_per_domain: int = DOCS_PER_DOMAIN, words_per
         return Classifier([], [], [])
     small = rows.sparkSession.createDataFrame(chosen, "domain string, hash long")
     sample = rows.join(F.broadcast(small), ["domain", "hash"]).select("domain", F.explode(F.split("text", _SPACE)).alias("word")).where("word <> ''")
-    counts = materialize(sample.groupBy("domain", "word").agg(F.count(F.lit(1)).alias("n")))
+    counts = Scratch(rows.sparkSession, "words").store("words", sample.groupBy("domain", "word").agg(F.count(F.lit(1)).alias("n")))
     totals = {row[0]: row[1] for row in counts.groupBy("domain").agg(F.sum("n")).collect()}
     domains = sorted({domain for domain, _ in chosen})
     share = F.create_map(*[F.lit(x) for d in domains for x in (d, float(totals.get(d, 1)))])
     rates = counts.where("n >= 3").withColumn("rate", F.col("n") / share[F.col("domain")])
     by_word = rates.groupBy("word").agg(F.max(F.struct("rate", "domain")).alias("best"), F.sum("rate").alias("all"))
     telling = by_word.select("word", F.col("best.domain").alias("domain"), (2 * F.col("best.rate") - F.col("all")).alias("lead"))
-    vocabulary = []
-    for domain in domains:
-        top = telling.where(F.col("domain") == domain).orderBy(F.desc("lead"), "word").limit(words_per_domain)
-        vocabulary += [row.word for row in top.collect()]
+    # The sample bounds the words of a domain, so one task may rank them.
+    rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("lead"), "word"))
+    top = telling.withColumn("rank", rank).where(F.col("rank") <= words_per_domain)
+    vocabulary = [row.word for row in sorted(top.collect(), key=lambda row: (row.domain, row.rank))]
     found = {(row.domain, row.word): row.n for row in counts.where(F.col("word").isin(vocabulary)).collect()} if vocabulary else {}
     tables = [[math.log((found.get((d, w), 0) + 0.5) / (totals.get(d, 0) + len(vocabulary))) for d in domains] for w in vocabulary]
     rest = [math.log(max(1.0, totals.get(d, 0) - sum(found.get((d, w), 0) for w in vocabulary)) / (totals.get(d, 0) + len(vocabulary))) for d in domains]
@@ -76,108 +80,149 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     """One row for each doc_id and text: doc_id, __text (hash), __rows, __n (tokens of a row), __p.
 
     __p is the posterior in the order of the domains, of one entry where the model has no domains.
-    Words meet the model in a hash join with its vocabulary, whose size the training bounds, and are
-    summed up map-side. A text without words still gives a row.
+    Words meet the model in a hash join with its vocabulary, whose size the training bounds, and only
+    known ones are summed up, map-side. A text without words still gives a row.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     k = max(1, len(model.domains))
     rest = model.tables[-1] if model.domains else [0.0]
-    pieces = F.array_prepend(F.split(text, _SPACE), " ")  # no word is a space: it marks the row
-    word = docs.select("doc_id", F.xxhash64(text).alias("__text"), F.explode(pieces).alias("word")).where("word <> ''")
+    # No word is empty: an empty piece at the front marks the row.
+    split = docs.select("doc_id", F.xxhash64(text).alias("__text"), F.array_prepend(F.split(F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+$", ""), rf"{_SPACE}+"), "").alias("pieces"))
+    words = F.size("pieces") - 1 - (F.element_at("pieces", 2) == "").cast("int")
+    word = split.select("doc_id", "__text", words.cast("long").alias("words"), F.explode("pieces").alias("word"))
     fields = ", ".join(f"l{d} double" for d in range(k))
-    known = docs.sparkSession.createDataFrame([(w, *row) for w, row in zip(model.words, model.tables, strict=False)], f"word string, {fields}")
-    sums = word.join(F.broadcast(known), "word", "left").groupBy("doc_id", "__text").agg(
-        F.count_if(F.col("word") == " ").alias("__rows"), F.count(F.lit(1)).alias("pieces"), F.count("l0").alias("known"), *[F.sum(f"l{d}").alias(f"l{d}") for d in range(k)]
+    known = [(w, *row) for w, row in zip(model.words, model.tables, strict=False)]
+    known = docs.sparkSession.createDataFrame([("", *[0.0] * k), *known], f"word string, {fields}")
+    sums = word.join(F.broadcast(known), "word").groupBy("doc_id", "__text", "words").agg(
+        F.count_if(F.col("word") == "").alias("marks"), F.count(F.lit(1)).alias("known"), *[F.sum(f"l{d}").alias(f"l{d}") for d in range(k)]
     )
-    sums = sums.withColumn("words", F.col("pieces") - F.col("__rows"))
-    others = F.col("words") - F.col("known")
-    sums = sums.withColumns({f"e{d}": F.coalesce(F.col(f"l{d}"), F.lit(0.0)) + others * rest[d] for d in range(k)})
-    evidence = F.array(*[F.col(f"e{d}") * SHARPNESS / F.greatest(F.col("words"), F.lit(1)) for d in range(k)])
+    # A text without words has two empty pieces.
+    rows = F.when(F.col("words") == 0, F.col("marks") / 2).otherwise(F.col("marks")).cast("long")
+    sums = sums.withColumn("__rows", rows).withColumn("all", F.col("words") * F.col("__rows"))
+    others = F.col("all") - (F.col("known") - F.col("marks"))
+    evidence = F.array(*[(F.col(f"l{d}") + others * rest[d]) * SHARPNESS / F.greatest(F.col("all"), F.lit(1)) for d in range(k)])
     powers = sums.withColumn("e", evidence).withColumn("e", F.transform("e", lambda x: F.exp(x - F.array_max("e"))))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return powers.select("doc_id", "__text", "__rows", (F.col("words") / F.col("__rows")).cast("long").alias("__n"), F.transform("e", lambda x: x / total).alias("__p"))
+    return powers.select("doc_id", "__text", "__rows", F.col("words").alias("__n"), F.transform("e", lambda x: x / total).alias("__p"))
 
 
-def _numbers(values: Sequence[float]) -> str:
-    return "array(" + ",".join(f"{v!r}D" for v in values) + ")"
+@dataclass
+class Fit:
+    """A document's rate is max(least, 1 + the scalar product of its posterior with ``moves``)."""
+
+    moves: list[float]
+    natural: list[float]
+    targets: list[float]
+    expected: list[float]
+    passes: int
+
+    @property
+    def residual(self) -> float:
+        """The largest distance of a domain's expected tokens from its target, as a share of the target."""
+        return max((abs(e - t) / t for e, t in zip(self.expected, self.targets, strict=True) if t > 0), default=0.0)
+
+
+def rate(moves: Sequence[float], least: float = 0.0) -> Column:
+    """The rate of a document by its posterior __p: gradient steps summed up, then projected to ``least`` or more."""
+    along = reduce(add, [F.get("__p", F.lit(i)) * move for i, move in enumerate(moves)], F.lit(1.0))
+    return F.greatest(F.lit(float(least)), along)
+
 
+def fit_rates(members: DataFrame, k: int, weights: Sequence[float] | None = None, least: float = 0.0) -> Fit:
+    """Projected-gradient least squares over ``members`` (__rows, __n, __p).
 
-def fit_rates(members: DataFrame, k: int, weights: Sequence[float] | None = None, least: float = 0.0) -> tuple[list[list[float]], list[float], list[float]]:
-    """Steps of the projected gradient, the natural domain totals and the targets.
+    The objective is sum((expected - target)^2 / natural). Its gradient moves a rate by a scalar product with
+    the document's posterior, so the sum of all steps is one number a domain and the projection to
+    ``least`` or more follows when a rate is asked for: nothing is stored a document. A step is damped
+    by the Gram matrix of the rates that are free to move, which the same pass sums up; a pass tries three
+    dampings, and the one with the least objective stands if it lowers it. Rows of one posterior are
+    summed up first, by a partial aggregate, and a pass is one aggregate over these.
 
-    ``members`` has __rows, __n and __p. The objective is sum((expected - target)^2 / natural) / 2 and
-    the gradient is taken in token units, so its matrix has no eigenvalue above 1 and steps of length
-    1 converge. A document's rate after all steps is a fold of the returned vectors over its
-    posterior. The fit itself writes the rates of every tenth step as a table of tokens, posterior and
-    rate, so that the plan of a step does not grow with the steps before. Targets are in proportion to ``weights`` and so
-    large that no domain has to shrink.
+    Targets are in proportion to ``weights`` and so large that no domain has to shrink. The fit ends when
+    the targets are met, or when the totals stand still because the bound or the softness of the posteriors
+    keeps them from the targets (see ``Fit.residual``). It never ends for another reason: if ``PASSES`` do
+    not do, it raises an error.
     """
-    totals = lambda r: [F.sum(r * F.col("__rows") * F.col("__n") * F.get("__p", F.lit(i))).alias(f"t{i}") for i in range(k)]
-    natural = [float(x or 0.0) for x in members.agg(*totals(F.lit(1.0))).first()]
-    if not any(natural):
-        return [], natural, natural
-    weights = list(weights) if weights is not None else [n**TEMPERATURE for n in natural]
-    scale = max(n / w for n, w in zip(natural, weights, strict=True) if w > 0)
-    targets = [w * scale if n > 0 else 0.0 for w, n in zip(weights, natural, strict=True)]
-    steps: list[list[float]] = []
-    fresh: list[list[float]] = []
-    state = members.select("__rows", "__n", "__p", F.lit(1.0).alias("__rate"))
-    expected = natural
-    for _ in range(STEPS):
-        step = [(e - t) / n if n > 0 else 0.0 for e, t, n in zip(expected, targets, natural, strict=True)]
-        if max(map(abs, step)) < TOLERANCE:
-            break
-        if len(fresh) == STORED_EVERY:
-            path = shared_path(members.sparkSession, "rates")
-            state.withColumn("__rate", rate(fresh, least, F.col("__rate"))).write.parquet(path)
-            state, fresh = members.sparkSession.read.parquet(path), []
-        steps.append(step)
-        fresh.append(step)
-        before, expected = expected, [float(x or 0.0) for x in state.agg(*totals(rate(fresh, least, F.col("__rate")))).first()]
-        if max(abs(b - e) / t for b, e, t in zip(before, expected, targets, strict=True) if t > 0) < TOLERANCE:
-            break  # projection holds the rest
-    return steps, natural, targets
-
-
-def rate(steps: list[list[float]], least: float = 0.0, start: Column | None = None) -> Column:
-    """The rate of a document: from ``start`` (1), each step moves against the gradient and projects to ``least`` or more."""
-    start = F.lit(1.0) if start is None else start
-    if not steps:
-        return start
-    folded = F.expr("array(" + ",".join(_numbers(step) for step in steps) + ")")
-
-    def move(r: Column, step: Column) -> Column:
-        along = F.aggregate(F.zip_with(F.col("__p"), step, lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)
-        return F.greatest(F.lit(float(least)), r - along)
-
-    return F.aggregate(folded, start, move)
+    scratch = Scratch(members.sparkSession, "profiles")
+    tokens = F.sum(F.col("__rows") * F.col("__n")).cast("double").alias("__w")
+    profiles = scratch.store("profiles", members.groupBy("__p").agg(tokens))
+    weight, shares = F.col("__w"), [F.get("__p", F.lit(i)) for i in range(k)]
+    triangle = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def totals(trials: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each trial the expected tokens of the domains and the Gram matrix of the free rates: one pass."""
+        sums = []
+        for moves in trials:
+            own = rate(moves.tolist(), least)
+            free = F.when(own > least, weight).otherwise(0.0)
+            sums += [F.sum(own * weight * p) for p in shares] + [F.sum(free * shares[i] * shares[j]) for i, j in triangle]
+        row = np.array([x or 0.0 for x in profiles.agg(*sums).first()]).reshape(len(trials), -1)
+        found = []
+        for values in row:
+            gram = np.zeros((k, k))
+            for (i, j), value in zip(triangle, values[k:], strict=True):
+                gram[i, j] = gram[j, i] = value
+            found.append((values[:k], gram))
+        return found
+
+    moves = np.zeros(k)
+    ((expected, gram),) = totals([moves])
+    natural = np.array([x or 0.0 for x in profiles.agg(*[F.sum(weight * p) for p in shares]).first()])
+    wanted = np.array(weights, float) if weights is not None else natural**TEMPERATURE
+    there = (natural > 0) & (wanted > 0)
+    targets = np.where(natural > 0, wanted * (natural[there] / wanted[there]).max(), 0.0) if there.any() else np.zeros(k)
+    passes, damping, still = 0, 1.0, 0
+    off = lambda totals: float((((totals - targets) ** 2)[natural > 0] / natural[natural > 0]).sum())
+    apart = lambda a, b: float((np.abs(a - b)[targets > 0] / targets[targets > 0]).max(initial=0.0))
+    none = (targets == 0) & (natural > 0)
+    while there.any() and still < 2 and (apart(expected, targets) > MET or (expected[none] > MET * natural[none]).any()):
+        passes += 1
+        if passes > PASSES:
+            raise RuntimeError(f"rates do not settle in {PASSES} passes: expected {expected.tolist()} of {targets.tolist()}")
+        dampings = [damping * x for x in (0.1, 1.0, 10.0)]
+        scale = np.maximum(natural, 1.0)
+        trials = [moves + np.linalg.solve(gram + d * np.diag(scale), targets - expected) for d in dampings]
+        found = totals(trials)
+        best = min(range(len(trials)), key=lambda i: off(found[i][0]))
+        moved = apart(found[best][0], expected)
+        if off(found[best][0]) <= off(expected):
+            moves, (expected, gram), damping = trials[best], found[best], max(1e-9, dampings[best])
+        else:
+            damping *= 1000
+        still = still + 1 if moved < STILL else 0
+    scratch.drop("profiles")
+    return Fit(moves.tolist(), natural.tolist(), targets.tolist(), expected.tolist(), passes)
 
 
 def _rated(docs: DataFrame, domain: str, weights: dict[str, float] | None, least: float) -> tuple[DataFrame, list[str]]:
     """Posteriors with the fitted rate as ``rate``, and the domains."""
     source = docs.select("doc_id", "text", F.col(domain).alias("domain"))
     model = train(source)
-    members = materialize(posteriors(source, model))
+    scratch = Scratch(docs.sparkSession, "members")
+    rounded = posteriors(source, model).withColumn("__p", F.transform("__p", lambda p: F.round(p, PLACES)))
+    members = scratch.store("members", rounded)
     chosen = weights and [weights.get(d, 0.0) for d in model.domains]
-    steps = fit_rates(members, len(model.domains), chosen, least)[0] if model.domains else []
-    return members.withColumn("rate", F.round(rate(steps, least), 6)), model.domains
+    if not model.domains:
+        return members.withColumn("rate", F.lit(1.0)), model.domains
+    fit = fit_rates(members, len(model.domains), chosen, least)
+    return members.withColumn("rate", F.round(rate(fit.moves, least), 6)), model.domains
 
 
 def rates(docs: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, least: float = 0.0) -> DataFrame:
-    """One row per document: doc_id, n_tokens, domain (likeliest), posterior, rate (6 places).
+    """One row per document: doc_id, n_tokens, domain (likeliest), posterior (``PLACES`` places), rate (6 places).
 
     ``domain`` names the column that labels documents; rows where it is null get their posterior from
     their text alone, like all others. Null and empty texts have no tokens: equal posteriors and a rate
-    by them, without effect on any total. Repeated rows give repeated rows, each counted in the
-    totals; a null doc_id is a value like others. Without any label every document has rate 1 and a
-    null domain. Other columns are not read. An empty table gives no rows.
+    by them, without effect on any total. Of tied posteriors the first domain by name is the likeliest.
+    Repeated rows give repeated rows, each counted in the totals; a null doc_id is a value like others.
+    Without any label every document has rate 1 and a null domain. Other columns are not read. An empty
+    table gives no rows.
     """
     rated, domains = _rated(docs, domain, weights, least)
     names = F.array(*[F.lit(d) for d in domains]) if domains else F.array(F.lit(None).cast("string"))
     likeliest = F.get(names, F.array_position("__p", F.array_max("__p")).cast("int") - 1)
     return rated.select(
-        "doc_id", F.col("__n").alias("n_tokens"), likeliest.alias("domain"),
-        F.transform("__p", lambda p: F.round(p, 6)).alias("posterior"), "rate",
+        "doc_id", F.col("__n").alias("n_tokens"), likeliest.alias("domain"), F.col("__p").alias("posterior"), "rate",
         F.explode(F.array_repeat(F.lit(1), F.col("__rows").cast("int"))).alias("row"),
     ).drop("row")
 
