@@ -213,5 +213,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
-    """The documents whose language the net recognises (not ``und``, score at least ``least_score``); columns unchanged."""
-    return predict(docs, fit(docs), docs.columns).where((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least_score)).select(docs.columns)
+    """The documents whose language the net recognises: not ``und``, score at least ``least_score``.
+
+    Columns are unchanged, and so is every label; only where lang is null the prediction takes its place.
+    """
+    known = predict(docs, fit(docs), docs.columns).where((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least_score))
+    return known.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(docs.columns)
