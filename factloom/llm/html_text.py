@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,10 +18,12 @@ from .decision_tree import Node, grow, positive
 # HTML element names and words of class and id attributes.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 RAW = ("script", "style", "textarea", "title")  # up to their end tag or the end of the page
-SILENT = frozenset(("noscript", "template", "svg", "math", "iframe", "object", "button", "select"))  # up to their end tag, if there is one
+SILENT = frozenset(("template", "svg", "iframe", "button", "select"))  # up to their end tag, if there is one
 AROUND = frozenset("nav header footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HINT = regex.compile(r"(?<![a-z])(ads?|advert\w*|adslot|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|comment-?list|disqus|replies|reply|respond|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|copyright|legal|disclaimer)(?![a-z])", regex.I)
+# Words that mostly name what stands beside an article, and words that name parts of articles as well.
+STRONG = regex.compile(r"(?<![a-z])(?<!has-|with-)(ads?|advert\w*|adslot|sponsor\w*|promo\w*|sidebar|menu|nav\w*|breadcrumbs?|footer|masthead|comments?|comment-?list|disqus|replies|respond|cookies?|consent|notices?|popup|modal|newsletter|subscribe|signup|login|related|recommended|pagination|pager|copyright)(?![a-z])", regex.I)
+WEAK = regex.compile(r"(?<![a-z])(?<!has-|with-)(banner|side|header|reply|alert|overlay|share|sharing|social|widget|toolbar|legal|disclaimer)(?![a-z])", regex.I)
 
 _TOKEN = regex.compile(
     r"<!--.*?(?:-->|$)|(?P<start><(?P<raw>" + "|".join(RAW) + r")(?=[\s>/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>).*?(?:</(?P=raw)\s*>|$)|<![^>]*>|<\?[^>]*>"
@@ -43,7 +46,8 @@ class TextBlock:
     words: int
     linked: int
     around: int
-    hints: int
+    strong: int
+    weak: int
     article: int
     heading: int
     label: int
@@ -61,8 +65,8 @@ def self_closed(tag: str) -> bool:
 def markup(page: str) -> list[tuple[regex.Match, int]]:
     """The tags and comments outside of silent elements, each with the place where text goes on after it.
 
-    An end tag belongs to the last open silent element of its name. Self-closed svg and math are empty, and so
-    are self-closed elements inside them; of a silent element that is never closed only the tag is left out.
+    An end tag belongs to the last open silent element of its name. A self-closed svg is empty, and so
+    are self-closed elements inside one; of a silent element that is never closed only the tag is left out.
     """
     found: list[tuple[regex.Match, int]] = []
     opened: dict[str, list[int]] = {}
@@ -71,13 +75,13 @@ def markup(page: str) -> list[tuple[regex.Match, int]]:
     while match := _TOKEN.search(page, at):
         at = match.end()
         if match["raw"] is not None:
-            if (opened.get("svg") or opened.get("math")) and self_closed(match["start"]):
+            if opened.get("svg") and self_closed(match["start"]):
                 at = match.end("start")
         elif match["name"] is not None and (name := match["name"].lower()) in SILENT:
             if match["close"]:
                 if opened.get(name):
                     ends[opened[name].pop()] = at
-            elif not (name in ("svg", "math") and self_closed(match["attrs"])):
+            elif not (name == "svg" and self_closed(match["attrs"])):
                 opened.setdefault(name, []).append(match.start())
         found.append((match, at))
     if not ends:
@@ -93,7 +97,7 @@ def markup(page: str) -> list[tuple[regex.Match, int]]:
 def text_blocks(page: str) -> list[TextBlock]:
     """The page as flat blocks. Open elements are kept on a stack, which an end tag cuts back to its match."""
     blocks: list[TextBlock] = []
-    stack: list[tuple[str, int, int, int, int, int]] = []  # name, around, hints, article, heading, label
+    stack: list[tuple[str, int, int, int, int, int, int]] = []  # name, around, strong, weak, article, heading, label
     opened: dict[str, int] = {}
     parts: list[str] = []
     linked, at = 0, 0
@@ -108,8 +112,7 @@ def text_blocks(page: str) -> list[TextBlock]:
         words = (html.unescape(text) if "&" in text else text).split()
         if words:
             text = " ".join(words)
-            _, around, hints, article, heading, label = stack[-1] if stack else ("", 0, 0, 0, 0, -1)
-            blocks.append(TextBlock(text, len(words), linked, around, hints, article, heading, label))
+            blocks.append(TextBlock(text, len(words), linked, *(stack[-1][1:] if stack else (0, 0, 0, 0, 0, -1))))
         linked = 0
 
     def close(name: str) -> None:
@@ -154,68 +157,120 @@ def text_blocks(page: str) -> list[TextBlock]:
             continue
         if name in ("p", "li", "td", "tr", "dt", "dd", "option") and any(open_name == name for open_name, *_ in stack[-4:]) and stack[-1][0] not in ("ul", "ol", "table", "tbody", "dl"):
             close(name)  # an unclosed sibling ends here, with what is still open inside it
-        _, around, hints, article, heading, label = stack[-1] if stack else ("", 0, 0, 0, 0, -1)
+        _, around, strong, weak, article, heading, label = stack[-1] if stack else ("", 0, 0, 0, 0, 0, -1)
+        inside = name == "article" or name == "main"
+        if inside:  # what an article stands in says nothing of its parts
+            around = strong = weak = 0
         attrs = match["attrs"]
         if attrs and _TELLING.search(attrs):
             named = " ".join(a or b or c for a, b, c in _NAMED.findall(attrs))
-            hints += bool(named and HINT.search(named)) and name not in ("body", "html", "article", "main") or bool(_HIDDEN.search(attrs))
+            if named and not inside and name not in ("body", "html"):
+                strong += bool(STRONG.search(named))
+                weak += bool(WEAK.search(named))
+            strong += bool(_HIDDEN.search(attrs))
             marked = _LABEL.search(attrs)
             label = int(marked[1]) if marked else label
         opened[name] = opened.get(name, 0) + 1
-        inside = name == "article" or name == "main"
-        stack.append((name, around + (name in AROUND and not (name == "header" and article)), hints, article or int(inside), int(name in ("h1", "h2", "h3", "h4", "h5", "h6")) or heading, label))
+        stack.append((name, around + (name in AROUND and not (name == "header" and article)), strong, weak, article or int(inside), int(name in ("h1", "h2", "h3", "h4", "h5", "h6")) or heading, label))
     add(page[at:])
     end_block()
     return blocks
 
 
+FEATURES = ("words", "density", "words before", "density before", "words after", "density after", "around", "strong", "weak", "article", "heading", "has article")
+
+
 def features(blocks: list[TextBlock]) -> list[list[float]]:
-    """Word counts and link densities of each block and its neighbours, and where it stands."""
+    """``FEATURES`` of each block: word counts and link densities of it and its neighbours, and where it stands."""
     if not blocks:
         return []
-    edge = TextBlock("", 0, 0, 0, 0, 0, 0, -1)
+    edge = TextBlock("", 0, 0, 0, 0, 0, 0, 0, -1)
     has_article = float(any(b.article for b in blocks))
     rows = []
     for before, own, after in zip([edge, *blocks[:-1]], blocks, [*blocks[1:], edge], strict=True):
-        rows.append([own.words, own.density, before.words, before.density, after.words, after.density, float(own.around > 0), float(own.hints > 0), float(own.article > 0), float(own.heading), has_article])
+        rows.append([own.words, own.density, before.words, before.density, after.words, after.density, float(own.around > 0), float(own.strong > 0), float(own.weak > 0), float(own.article > 0), float(own.heading), has_article])
     return rows
 
 
-#: The labelled table: small pages whose elements say whether their text is main text.
-LABELLED_PAGES = [
-    """<body><nav data-label="0"><ul><li><a href=a>Home</a><li><a href=b>News and views</a></ul></nav><div class="ad" data-label="0">Buy our fine new shoes today at half the price.</div>
-    <article data-label="1"><h1>A storm over the bay</h1><p>The wind rose at noon and by three the boats had all come home to the harbour.</p><p>Short.</p><p>Nobody was hurt, said the <a href=c>harbour office</a>, but two roofs are gone and a wall fell on the road.</p></article>
-    <footer data-label="0">All rights reserved by the paper and its owners.</footer></body>""",
-    """<body><header data-label="0"><h2>The Daily Post</h2><form><input><label>Search this site</label></form></header><div class="cookie-notice" data-label="0"><p>We use cookies to make this site work and to count our readers. Please accept.</p></div>
-    <main><article data-label="1"><h1>Bread</h1><p>Mix flour and water and leave the dough alone for a day.</p><ul><li>Flour</li><li>Water</li><li>Salt and nothing else at all</li></ul><aside data-label="0"><h3>More recipes</h3><p>Soup of the day, cakes and a long list of pies for every season.</p></aside>
-    <p>Bake it.</p></article></main><aside data-label="0"><p>Most read this week in our pages: seven ways to boil an egg, and more.</p></aside>
-    <section class="comments" data-label="0"><h3>Comments</h3><div><p>I tried this at home and it was very good, thank you for the recipe and the pictures.</p></div></section></body>""",
-    """<body><div id="menu" data-label="0"><a href=1>One</a> | <a href=2>Two</a> | <a href=3>Three</a></div><div id="content" data-label="1"><h1>Old page without an article</h1><p>This page was written long ago, when nobody used elements with a meaning, but it has a long text all the same.</p>
-    <p>Its second paragraph is also long enough that a reader, or a tree, can tell it from a menu or a footer.</p></div><div class="sidebar" data-label="0"><p>Links of the month</p><p>A long note beside the text about other pages that a reader may care for on a rainy day.</p></div><div id="footer" data-label="0">Contact us by post</div></body>""",
-    """<body><div data-label="0"><a href=1>Start</a> <a href=2>About us</a> <a href=3>Contact</a></div><div data-label="1"><p>Tables of plain blocks are harder, since nothing but their length and their links tells them apart from the rest.</p><p>So a block of many words with few links, beside others like it, is taken for the main text of its page.</p></div>
-    <div data-label="0"><a href=4>Next page of this list</a></div><div data-label="0">Copyright note</div></body>""",
-    """<body><article data-label="1"><h1>Results</h1><p>They won.</p><p><a href=x>The full table of results is here</a></p><p>The last game is on Sunday and the gates open at two in the afternoon.</p><form data-label="0"><p>Write your name here to get our letter every week</p></form><div class="ad" data-label="0">A car that drives itself</div><div class="related" data-label="0"><a href=q>Another story that you may like</a></div></article>
-    <div class="reader-comments" data-label="0"><p>What a game that was, I have not seen one like it for many years.</p></div><div class="newsletter" data-label="0">Subscribe to our letter</div></body>""",
-    """<body><nav data-label="0"><a href=1>Archive</a></nav><main data-label="1"><p>Only a main element holds this text.</p><blockquote>And a quote stands in it, of a few words.</blockquote><div role="alert" class="notice" data-label="0">This site will be closed on Monday for repairs and all day on Tuesday.</div></main><footer data-label="0"><p>Made with care in a small office by three people and a dog.</p></footer></body>""",
-    """<body><nav data-label="0"><a href=1>Top</a></nav><article data-label="1"><h2>The end</h2><p>An article may be the last thing on its page.</p><p>Then nothing follows it.</p></article></body>""",
-    """<body><div data-label="0">A line above the text that says what day it is and where the paper is printed.</div><article data-label="1"><h1>Letter</h1><p>Dear all, I write to say that the bridge is open.</p><p>Yes.</p><p><a href=2>See the map of the new road</a></p><p>Yours</p></article><div data-label="0">Printed on paper from old trees, and read on screens by many people in many places.</div></body>""",
-    """<body><div data-label="0"><p>Late news: the train at nine is late by an hour, and the one at ten does not run at all today.</p></div><article data-label="1"><p>The story itself is short.</p></article><div data-label="0"><p>Weather: rain and then more rain, with a little sun at the end of the week if we are lucky.</p></div></body>""",
-    """<body><article data-label="1"><p>Only this.</p></article></body>""",
-    """<body data-label="1"><p>A page of nothing but two paragraphs, both of which are long enough to be read as text.</p><p>The last of them ends the page, and no footer comes after it, which is as it should be.</p></body>""",
-    """<body data-label="1"><h1>Plain</h1><p>Some words in a page that has no more than a heading and one paragraph of text in it.</p></body>""",
-    """<body><div data-label="0"><a href=1>A</a> <a href=2>B</a></div><h1 data-label="1">A heading above</h1><p data-label="1">Text follows the heading here, as it does in most pages of this old and plain kind.</p><p data-label="1">A short end to it.</p><p data-label="0"><a href=3>Back</a></p></body>""",
-]
+def labelled_pages(count: int = 400, seed: int = 5) -> list[str]:
+    """The labelled table: small pages by rule, whose ``data-label`` says whether an element's text is main text.
+
+    Half have an article element, some only a main, the others neither. What stands beside the text is
+    marked by elements, by class words or not at all; class words also stand on parts of the text. Link
+    lists and their headings stand inside articles too, without a mark.
+    """
+    rng = random.Random(seed)
+    words = lambda low, high: " ".join("text" for _ in range(rng.randint(low, high)))
+    link = lambda low, high: f"<a href=x>{words(low, high)}</a>"
+    many = lambda low, high, make: "".join(make() for _ in range(rng.randint(low, high)))
+    pick = rng.choice
+    strong = lambda: pick(["ad", "advert", "sponsored", "promo", "comments", "newsletter", "related", "cookie-notice", "notice", "sidebar", "menu", "footer"])
+    weak = lambda: pick(["side-note", "legal", "share", "social", "alert", "widget", "banner"])
+
+    def text() -> str:
+        kind = rng.random()
+        if kind < 0.55:
+            return f"<p>{words(10, 90)}</p>" if kind < 0.4 else f"<p>{words(8, 50)} {link(1, 3)} {words(3, 30)}</p>"
+        if kind < 0.72:
+            return f"<p>{words(1, 6)}</p>"
+        if kind < 0.80:
+            return f"<h2>{words(1, 6)}</h2><p>{words(12, 70)}</p>"
+        if kind < 0.86:
+            return "<ul>" + many(2, 5, lambda: f"<li>{words(1, 14)}</li>") + "</ul>"
+        if kind < 0.92:
+            return f"<blockquote>{words(5, 40)}</blockquote>"
+        if kind < 0.95:
+            return f"<p>{link(3, 7)}</p><p>{words(10, 40)}</p>"
+        return f'<div class="{weak()}">{words(12, 50)}</div>'
+
+    def box() -> str:
+        """What stands inside an article and is no part of it."""
+        return pick([
+            lambda: f'<h3 data-label="0">{words(1, 4)}</h3><ul data-label="0">' + many(2, 6, lambda: f"<li>{link(2, 9)}</li>") + "</ul>",
+            lambda: f'<div class="{strong()}" data-label="0">{words(4, 40)}</div>',
+            lambda: f'<div class="{weak()}" data-label="0">' + many(2, 4, lambda: f"<p>{link(1, 2)}</p>") + "</div>",
+            lambda: f'<form data-label="0"><p>{words(3, 15)}</p></form>',
+            lambda: f'<aside data-label="0"><p>{words(5, 40)}</p></aside>',
+        ])()
+
+    def beside(bare: bool) -> str:
+        kinds = [
+            lambda: "<nav><ul>" + many(3, 7, lambda: f"<li>{link(1, 3)}</li>") + "</ul></nav>",
+            lambda: "<div>" + many(2, 6, lambda: f"<p>{link(1, 8)}</p>") + "</div>",
+            lambda: f'<div class="{strong()}">{many(1, 3, lambda: f"<p>{words(4, 40)}</p>")}</div>',
+            lambda: f"<footer>{words(3, 14)}{pick(['', ' ' + link(1, 3)])}</footer>",
+            lambda: f"<aside><p>{words(5, 40)}</p></aside>",
+            lambda: f"<h3>{words(1, 4)}</h3><ul>" + many(2, 6, lambda: f"<li>{link(2, 9)}</li>") + "</ul>",
+        ]
+        if bare:  # nothing but the place tells these from the text
+            kinds += [lambda: f"<div>{words(5, 30)}</div>", lambda: f"<div><p>{words(5, 30)}</p></div>"]
+        else:
+            kinds += [lambda: f"<div>{words(1, 6)}</div>"]
+        return f'<div data-label="0">{pick(kinds)()}</div>'
+
+    pages = []
+    for number in range(count):
+        kind = number % 4  # 0 and 1: article, 2: main, 3: neither
+        parts = [f"<h1>{words(2, 10)}</h1>"] * (rng.random() < 0.9) + [text() for _ in range(rng.randint(1, 9))]
+        if kind == 3:
+            parts = [part for part in parts if len(part.split()) > 6] or [f"<p>{words(30, 60)}</p>"]
+        for _ in range(rng.randint(0, 2) if kind < 3 else 0):
+            parts.insert(rng.randint(1, len(parts)), box())
+        body = "".join(parts)
+        own = {0: f'<article data-label="1">{body}</article>', 1: f'<article data-label="1">{body}</article>', 2: f'<main data-label="1">{body}</main>', 3: f'<div data-label="1">{body}</div>'}[kind]
+        pages.append("<body>" + many(0, 3, lambda: beside(kind < 3)) + own + many(0, 3, lambda: beside(kind < 3)) + "</body>")
+    return pages
 
 
 def train(pages: list[str] | None = None) -> Node:
     rows, labels = [], []
-    for page in pages or LABELLED_PAGES:
+    for page in pages or labelled_pages():
         blocks = text_blocks(page)
         for block, row in zip(blocks, features(blocks), strict=True):
             if block.label >= 0:
                 rows.append(row)
                 labels.append(block.label)
-    return grow(np.array(rows, float), np.array(labels, float))
+    return grow(np.array(rows, float), np.array(labels, float), depth=9, least=4)
 
 
 def main_text(page: str | None, tree: Node) -> str:
@@ -223,16 +278,16 @@ def main_text(page: str | None, tree: Node) -> str:
     return "\n\n".join(block.text for block, row in zip(blocks, features(blocks), strict=True) if positive(tree, row))
 
 
-def extract(pages: DataFrame, labelled_pages: list[str] | None = None) -> DataFrame:
+def extract(pages: DataFrame, labelled: list[str] | None = None) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     The whole html is read and no block is cut. A null or empty page gives an empty text. Scripts, styles,
     textareas, titles and comments that are never closed end with the page; of other elements without an
     end tag the text is read. Repeated pages give repeated rows; page_id and url may be null
-    and other columns are not read. An empty table gives no rows. ``labelled_pages`` replaces the
-    labelled table that the tree learns from.
+    and other columns are not read. An empty table gives no rows. ``labelled`` replaces the labelled
+    table that the tree learns from.
     """
-    tree = train(labelled_pages)
+    tree = train(labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
