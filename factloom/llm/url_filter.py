@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,11 @@ _LAST = chr(0x10FFFF)
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
     rest = _rest(url)
-    return F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _lower(F.regexp_extract(rest, r"^([^/?#]*)", 1))
+
+
+def _lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
@@ -81,7 +86,8 @@ def _sweep():
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
-    ``rules`` has host, path and verdict. A rule fits its host and all subdomains where the url's path
+    ``rules`` has host, path and verdict; hosts are lower-cased (A-Z) as those of urls are, and a rule with a
+    null in any of the three is left out. A rule fits its host and all subdomains where the url's path
     starts with the rule's. The rule of the longest ``host + path`` wins, then that of the longer host;
     of two verdicts for one rule the smaller string stands. Without a rule, rule is null and verdict is
     ``default``. Null urls and urls without ``://`` have an empty host and path. Repeated pages give
@@ -96,11 +102,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     urls = pages.select("page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.hex(F.xxhash64("url", "page_id")).alias("salt"))
     keyed = urls.withColumn("key", reversed_key(F.col("host"))).withColumn("spread", F.concat("key", F.lit("\x00"), "salt"))
     bounds = _bounds(keyed.select("spread", F.xxhash64("salt").alias("order")), count)
-    starts = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
-    part_of = lambda key: F.size(F.filter(starts, lambda b: b <= key))
+    part_of = _place(bounds)
     row = F.struct("page_id", "host", "path")
     sides = keyed.select(part_of(F.col("spread")).alias("part"), "key", F.lit(1).alias("kind"), row.alias("row"), "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
-    clean = rules.where("host is not null and path is not null and verdict is not null")
+    clean = rules.where("host is not null and path is not null and verdict is not null").withColumn("host", _lower(F.col("host")))
     opened = clean.select(reversed_key(F.col("host")).alias("key"), "path", F.concat("host", "path").alias("rule"), "verdict")
     first, last = part_of(F.col("key")), part_of(F.concat("key", F.lit(_LAST)))
     spread_rules = opened.select(F.explode(F.sequence(first, last)).alias("part"), "key", F.lit(0).alias("kind"), F.lit(None).cast(sides.schema["row"].dataType).alias("row"), "path", "rule", "verdict")
@@ -111,7 +116,28 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
 
 
 def _bounds(keys: DataFrame, ranges: int) -> list[str]:
-    """Cuts between ranges, from a hash-ordered sample of bounded size; they affect speed alone."""
-    sample = sorted(row[0] for row in keys.orderBy("order").limit(ranges * SAMPLE_PER_RANGE).select("spread").collect())
-    cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
-    return cuts
+    """Cuts between ranges, from the keys of least hash, about ``SAMPLE_PER_RANGE`` for each range; they
+    affect speed alone. Each task sends its share of these."""
+    rows = keys.count()
+    if not rows or ranges < 2:
+        return []
+    share = min(1.0, ranges * SAMPLE_PER_RANGE / rows)
+    below = F.pmod("order", F.lit(1 << 30)) < max(1, round(share * (1 << 30)))
+    sample = sorted(row[0] for row in keys.where(below).select("spread").collect())
+    return sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
+
+
+def _place(bounds: list[str]) -> Callable[[Column], Column]:
+    """How many of the sorted bounds are not above a key: every step-th bound is tried first, then those between."""
+    if not bounds:
+        return lambda key: F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    strings = lambda values: F.array(*[F.lit(b) for b in values]).cast("array<string>")
+    every, coarse = strings(bounds), strings(bounds[step - 1 :: step])
+    upto = lambda values, key: F.size(F.filter(values, lambda b: b <= key))
+
+    def place(key: Column) -> Column:
+        blocks = upto(coarse, key) * step
+        return blocks + upto(F.slice(every, blocks + 1, step - 1), key)
+
+    return place
