@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 
 import numpy as np
@@ -212,10 +213,34 @@ def test_language_edges_and_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows.values())
     kept = language_id.keep_known(docs)
     assert kept.columns == docs.columns and kept.count() == 121
+    assert kept.where("doc_id = 123").first().lang == "en" and kept.where("doc_id <> 123 and lang is null").count() == 0
+    assert language_id.keep_known(docs, 1.1).count() == 0
     assert language_id.identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in language_id.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_fast_windows_equal_plain_convolutions():
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdefé "), 60)) for _ in range(40)]
+    net = language_id.train(texts, ["x", "y"] * 20, epochs=1)
+    windows, _, _ = language_id.windows_of([t.encode() for t in texts])
+    plain = []
+    for window in windows:
+        tops = []
+        for kernel in net.kernels:
+            width = len(kernel)
+            sums = [sum(kernel[j, window[at + j]].astype(float) for j in range(width)) for at in range(len(window) - width + 1)]
+            tops.append(np.max(sums, axis=0))
+        plain.append(net.probabilities(np.concatenate(tops)[None])[0])
+    assert np.allclose(language_id.FastForward(net)(windows), plain, atol=1e-4)
+
+
+def test_language_of_repeated_rows(spark):
+    rows = [(1, "the house of the king", "en"), (1, "the house of the king", "en"), (None, "der mann und die frau", "de"), (None, None, "de"), (1, "der mann und die frau nicht", "de")] * 30
+    found = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(found) == 150 and sum(r.lang_pred == "und" for r in found) == 30 and not any(r.held_out for r in found if r.doc_id is None)
+
+
 def test_bpe_equals_tiktoken(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as file:
@@ -248,16 +273,37 @@ def test_mixing_meets_targets(spark):
     assert mixing.rates(docs.withColumn("lang", F.lit(None).cast("string"))).count() == len(texts)
 
 
-def test_rates_equal_numpy_gradient(spark):
+@pytest.mark.parametrize("least, weights", [(0.0, [1.0, 2.0, 3.0]), (0.0, [0.0, 1.0, 1.0]), (0.0, [50.0, 1.0, 1.0]), (1.0, [1.0, 2.0, 3.0])])
+def test_rates_equal_numpy_gradient(spark, least, weights):
+    """Against plain projected-gradient least squares of a rate a document, also where a bound binds."""
     rng = np.random.default_rng(2)
     n, p = rng.integers(1, 50, 80), rng.dirichlet([0.5, 0.5, 0.5], 80)
     members = spark.createDataFrame([(1, int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "__rows long, __n long, __p array<double>")
-    steps, natural, targets = mixing.fit_rates(members, 3, [1.0, 2.0, 3.0])
+    fit = mixing.fit_rates(members, 3, weights, least)
+    natural, targets = np.array(fit.natural), np.array(fit.targets)
+    assert np.allclose(natural, n @ p) and np.allclose(targets / targets.max(), np.array(weights) / max(weights))
     r = np.ones(80)
-    for _ in range(len(steps)):
-        r = np.maximum(0, r - p @ (((r * n) @ p - targets) / natural))
-    got = np.array([x[0] for x in members.select(mixing.rate(steps)).collect()])
-    assert np.allclose(sorted(got), sorted(r)) and (got >= 0).all() and np.allclose((r * n) @ p, targets, rtol=1e-3)
+    for _ in range(20_000):
+        r = np.maximum(least, r - p @ (((r * n) @ p - targets) / natural))
+    got = np.array([x[0] for x in members.select(mixing.rate(fit.moves, least)).collect()])
+    own = np.array([x[0] for x in members.select("__n").collect()])
+    cost = lambda e: (((e - targets) ** 2) / natural).sum()
+    assert (got >= least).all() and np.allclose((got * own).sum(), sum(fit.expected))
+    assert cost(np.array(fit.expected)) <= cost((r * n) @ p) + 1e-4 * targets.max()
+    assert (got == least).any()  # the bound binds
+
+
+def test_mixing_rows_and_ties(spark):
+    """Repeated rows, null ids, long texts and tied posteriors."""
+    texts = ["alpha beta gamma"] * 20 + ["uno dos tres"] * 20 + ["none of these"] + ["alpha " * 50_000]
+    rows = [(i, t, "en" if "beta" in t else "es" if "uno" in t else None) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[0], (None, "uno dos tres", None), (None, "uno dos tres", None), (50, "\n \t", None), (51, " alpha\n\nbeta ", None)]
+    found = mixing.rates(spark.createDataFrame(rows, "doc_id long, text string, lang string"), weights={"en": 1.0, "es": 0.0}).collect()
+    assert len(found) == len(rows) and sum(r.doc_id is None for r in found) == 2 and sum(r.doc_id == 0 for r in found) == 3
+    by = {r.doc_id: r for r in found}
+    assert (by[41].n_tokens, by[50].n_tokens, by[51].n_tokens, by[40].n_tokens) == (50_000, 0, 2, 3)
+    assert by[50].posterior == [0.5, 0.5] and by[50].domain == "en" and by[51].domain == "en"
+    assert by[20].rate < 0.01 and by[0].rate >= 0.99
 
 
 def test_quality_edges_and_label_model(spark):
@@ -273,6 +319,24 @@ def test_quality_edges_and_label_model(spark):
     assert quality.classify(docs.limit(0)).count() == 0
 
 
+def test_label_model_estimates_accuracies():
+    """Votes drawn by known chances: EM finds these without labels."""
+    rng = np.random.default_rng(8)
+    truth = rng.random(40_000) < 0.8
+    tables = rng.dirichlet([6, 3, 1], len(quality.LABELLERS)), rng.dirichlet([6, 0.3, 4], len(quality.LABELLERS))
+    drawn = np.stack([np.where(truth, rng.choice(3, len(truth), p=tables[1][j]), rng.choice(3, len(truth), p=tables[0][j])) for j in range(len(quality.LABELLERS))], 1)
+    patterns, counts = np.unique(drawn, axis=0, return_counts=True)
+    model = quality.fit_label_model(patterns, counts.astype(float))
+    assert np.abs(model.table[:, 1] - tables[1]).max() < 0.08 and abs(model.prior - 0.8) < 0.05
+    assert ((model.posterior(drawn) >= 0.5) == truth).mean() > 0.97
+
+
+def test_quality_of_repeated_rows(spark):
+    rows = [(1, "The cat sat on the mat. It was a good cat."), (None, "#### $$$$ #### %%%%"), (None, None), (2, "  ")] * 3
+    found = quality.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 12 and sum(r.doc_id is None for r in found) == 6 and sum(r.score == 0.0 for r in found) == 6
+
+
 def test_shards_compact_and_commit(spark, tmp_path):
     docs = frame(spark, EDGE * 40).repartition(3)
     store = sharding.ShardStore(spark, str(tmp_path / "store"), target_bytes=60_000, least_bytes=1_000, fanout=3)
@@ -280,9 +344,44 @@ def test_shards_compact_and_commit(spark, tmp_path):
     assert rows.count() == 5 * 40 * len(EDGE) and rows.columns == docs.columns
     assert sorted(map(str, rows.collect())) == sorted(map(str, docs.collect() * 5))
     version, shards = store.manifest()
-    assert store.plan(shards) is None and len(shards) < 15
+    assert store.plans(shards) == [] and len(shards) < 15
     store.append(docs)
-    assert store.read(docs.schema, version + 1).count() == 6 * 40 * len(EDGE)
+    assert store.read(docs.schema, version + 1).count() == 6 * 40 * len(EDGE) and store.read(docs.schema, version).count() == 5 * 40 * len(EDGE)
     with pytest.raises(sharding.ConcurrentCommit):
-        store._commit(version, shards)
+        store._commit(version, shards, [])
     assert sharding.ShardStore(spark, str(tmp_path / "none")).read(docs.schema).count() == 0
+
+
+def test_dealt_arrivals_are_merged(spark, tmp_path):
+    docs = frame(spark, EDGE * 40).repartition(3)
+    store = sharding.ShardStore(spark, str(tmp_path / "store"))
+    rows = sharding.store_dealt(store, docs)
+    assert rows.columns == docs.columns and sorted(map(str, rows.collect())) == sorted(map(str, docs.collect()))
+    assert store.merges > 0 and len(store.manifest()[1]) < store.fanout * 2
+    empty = sharding.ShardStore(spark, str(tmp_path / "empty"))
+    assert sharding.store_dealt(empty, docs.limit(0)).count() == 0
+
+
+def test_two_writers_of_one_store(spark, tmp_path, monkeypatch):
+    """Lost commits are tried again; a merge whose shards another writer merged is given up."""
+    docs = frame(spark, ["a", "b", None])
+    one, two = (sharding.ShardStore(spark, str(tmp_path / "store"), fanout=2) for _ in range(2))
+    monkeypatch.setattr(sharding, "SNAPSHOT_EVERY", 3)
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda store: [store.append(docs) for _ in range(4)], [one, two]))
+    assert one.read(docs.schema).count() == 24 and one.versions()[-1] == 8
+    write = one._write
+
+    def slow(df):
+        found = write(df)
+        if not two.merges:
+            two.append(docs)
+            two.compact()
+        return found
+
+    monkeypatch.setattr(one, "_write", slow)
+    one.compact()
+    assert two.read(docs.schema).count() == 27 and {s.path for s in one.manifest()[1]} == {s.path for s in two.manifest()[1]}
+    one.vacuum()
+    files = [p for p in (tmp_path / "store" / "data").rglob("*.parquet")]
+    assert len(files) == len(one.manifest()[1]) and one.read(docs.schema).count() == 27

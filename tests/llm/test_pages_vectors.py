@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from factloom.llm import embedding_dedup, html_text, url_filter
+from factloom.llm import decision_tree, embedding_dedup, html_text, url_filter
 from factloom.llm.queries import RULES
 
 URLS = [
@@ -37,6 +38,22 @@ def test_url_rules(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_url_rule_rows(spark):
+    pages = spark.createDataFrame([(1, "http://a.Shop.example/x"), (None, "http://shop.example/y"), (2, None)], "page_id long, url string")
+    rules = spark.createDataFrame([("SHOP.example", "/", "block"), (None, "/", "allow"), ("a.shop.example", None, "allow"), ("a.shop.example", "/x", None)], "host string, path string, verdict string")
+    got = sorted((r.page_id or 0, r.rule, r.verdict) for r in url_filter.judge(pages, rules).collect())
+    assert got == [(0, "shop.example/", "block"), (1, "shop.example/", "block"), (2, None, "allow")]
+
+
+def test_places_among_bounds(spark):
+    bounds = sorted(f"k{i:03d}" for i in range(0, 100, 3))
+    keys = ["", "k", "z", *[f"k{i:03d}" for i in range(100)]]
+    for n in (0, 1, 2, len(bounds)):
+        place = url_filter._place(bounds[:n])
+        got = {r.key: r.at for r in spark.createDataFrame([(k,) for k in keys], "key string").select("key", place(F.col("key")).alias("at")).collect()}
+        assert got == {k: sum(b <= k for b in bounds[:n]) for k in keys}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><nav><a href=1>Home</a></nav><div class="cookie-banner">We use cookies.</div>
 <article><h1>Head &amp; tail</h1><p>First   line<br>goes on.<p>Second &lt;b&gt; <b>bold<p>Third</p><div class="ad">Buy!</div><form>Name</form></article>
 <aside>Other news of the day for you.</aside><section id="comments"><p>Nice text, thank you for it all.</p></section><footer>&copy; 2024</footer></body></html>"""
@@ -63,6 +80,47 @@ def test_text_after_open_elements(page):
     assert html_text.main_text(page.replace("@", text), html_text.train()).startswith("The wind rose at noon")
 
 
+KEPT = ["<p>Let <math><mi>x</mi></math> be small.", "<div class='side-note'>The bridge was built in the year of the flood, when the old one had gone, as the town still tells.</div>",
+        "<div class='legal'>The court said in its letter that the land is the town's, and that no house may stand on it.</div>", "<object>An old map of the town</object>", "<p>Short."]
+
+
+@pytest.mark.parametrize("part", KEPT)
+def test_article_parts_stay(part):
+    """Formulas, notes with telling class words and fallback text are part of an article."""
+    long = "<p>The wind rose at noon and by three the boats had all come home, and nobody was hurt.</p>"
+    for page in (f"<body class='has-sidebar'><article>{long}{part}{long}</article></body>", f"<nav><a href=1>x</a></nav><div class='sidebar'><main>{long}{part}{long}</main></div>"):
+        words = html_text.text_blocks(part)[0].text
+        assert words in html_text.main_text(page, html_text.train())
+
+
+def test_neighbours_decide():
+    """The same heading and the same line are text beside paragraphs and none beside links."""
+    tree, read = html_text.train(), lambda page: html_text.main_text(page, html_text.train()).split("\n\n")
+    long = "<p>The wind rose at noon and by three the boats had all come home, and nobody was hurt by the storm.</p>"
+    links = "<ul>" + "<li><a href=x>another story of the day</a></li>" * 4 + "</ul>"
+    assert "More of it" in read(f"<article>{long}<h3>More of it</h3>{long}</article>") and "More of it" not in read(f"<article>{long}<h3>More of it</h3>{links}</article>")
+    assert "By the sea" in read(f"<body><div>{long}<p>By the sea</p>{long}</div>") and "By the sea" not in read(f"<body><div>{long}</div><div><p>By the sea</p></div>{links}")
+    used, todo = set(), [tree]
+    while todo:
+        node = todo.pop()
+        if node.low is not None:
+            used.add(html_text.FEATURES[node.feature])
+            todo += [node.low, node.high]
+    assert used & {"words before", "words after"} and used & {"density before", "density after"}
+
+
+def test_features_and_held_out_pages():
+    tree, wrong, every = html_text.train(), 0, 0
+    for page in html_text.labelled_pages(80, seed=77):
+        blocks = html_text.text_blocks(page)
+        for at, row in enumerate(html_text.features(blocks)):
+            near = [blocks[i] if 0 <= i < len(blocks) else None for i in (at, at - 1, at + 1)]
+            assert row[:6] == [x for b in near for x in ((len(b.text.split()), b.linked / len(b.text.split())) if b else (0, 0.0))]
+            every += 1
+            wrong += decision_tree.positive(tree, row) != (blocks[at].label == 1)
+    assert wrong <= 0.03 * every
+
+
 def test_select_without_end_and_raw_to_the_end():
     read = lambda page: [b.text for b in html_text.text_blocks(page)]
     assert read("<body><select><option>A<article><p>Text") == ["A", "Text"]
