@@ -9,9 +9,16 @@ from factloom.llm import bpe, exact_dedup, language_id, mixing, near_dedup
 from factloom.llm.common import shared_path
 
 
+#: Mean probability that the likeliest language needs. Of four equal ones each has 0.25.
+LEAST_SCORE = 0.4
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, or no letter) go."""
-    return language_id.keep_known(docs)
+    """Documents without a language go: null, no letter, or no language that the net is surer of than ``LEAST_SCORE``.
+
+    Where lang is null the prediction takes its place, and mixing reads it.
+    """
+    return language_id.keep_known(docs, LEAST_SCORE)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
