@@ -10,7 +10,7 @@ from factloom.llm.common import shared_path
 
 
 #: Mean probability that the likeliest language needs. Of four equal ones each has 0.25.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
