@@ -76,3 +76,45 @@ def valid_period(text: Column) -> Column:
 
 def valid_date(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))
+
+
+def money_text(value: Column, currency: Column) -> Column:
+    """``EUR 1,234.5``: thousands commas, at most two decimals; null is ``n/a``."""
+    digits = F.regexp_replace(F.format_number(round_up(value, 2), 2), r"\.?0+$", "")
+    return F.when(value.isNull(), "n/a").when(currency.isNull(), F.concat(digits, F.lit(" currency units"))).otherwise(F.concat(currency, F.lit(" "), digits))
+
+
+def scrub(text: Column, size: int = 500) -> Column:
+    """Control characters become spaces; trimmed and cut to ``size``; ``unspecified`` if nothing is left."""
+    clean = F.substring(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x1F\x7F]", " ")), 1, size)
+    return F.when(clean == "", "unspecified").otherwise(clean)
+
+
+def safe_number(value: Column, default: float = 0.0) -> Column:
+    """A finite double, else ``default``: for null, NaN, infinities and text that is no number."""
+    number = value.try_cast("double")
+    return F.when(number.isNull() | F.isnan(number) | (F.abs(number) == F.lit(float("inf"))), F.lit(default)).otherwise(number)
+
+
+def shuffled(vector: Column, size: int, seed: int = 1234567) -> Column:
+    """The vector's components in one fixed pseudo-random order: a Fisher-Yates shuffle by xorshift32."""
+    order, state = list(range(size)), seed
+    for i in range(size - 1, 0, -1):
+        state ^= state << 13 & 0xFFFFFFFF
+        state ^= (state - (state >> 31 << 32)) >> 17 & 0xFFFFFFFF  # the sign bit fills up
+        state ^= state << 5 & 0xFFFFFFFF
+        j = int(state / 0xFFFFFFFF * (i + 1))
+        order[i], order[j] = order[j], order[i]
+    return F.transform(F.array(*[F.lit(i) for i in order]), lambda i: F.coalesce(F.get(vector, i), F.lit(0.0)))
+
+
+def marked_figures(text: Column) -> Column:
+    """Numbers beside a euro mark, on either side, thousands commas removed."""
+    number = r"-?[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?"
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?:€|EUR)\s*{number}|{number}\s*(?:€|EUR)"), F.lit(0))
+    return F.transform(found, lambda x: F.regexp_replace(x, r"[€EUR\s,]", ""))
+
+
+def request_hash(*columns: str) -> Column:
+    """A hash of a request's fields in the order of their names; nulls count."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import groups
-from ..functions.scalars import cosine, tokens
+from ..functions.scalars import cosine, snippet, tokens
 
 K1, B, RRF = 1.5, 0.75, 60
 BLOCK = 2048
@@ -27,14 +27,17 @@ def knn_dense(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Both sides are cut into blocks and each pair of blocks is one matrix product that keeps its own
     top k, so the shuffled scores are queries * corpus blocks * k. Nothing is broadcast; null vectors
-    are left out and zero vectors score 0.
+    are left out and zero vectors score 0. Ids of both sides are integers or strings and keep their type.
     """
     spark = corpus.sparkSession
+    kinds = [dict(side.dtypes)[name] for side, name in ((queries, "query_id"), (corpus, "id"))]
+    kinds = ["string" if kind == "string" else "long" for kind in kinds]
+    key = "string" if "string" in kinds else "long"
     n_corpus, n_queries = corpus.count(), queries.count()
     c_blocks, q_blocks = max(1, -(-n_corpus // BLOCK)), max(1, -(-n_queries // BLOCK))
     vector = F.transform("embedding", lambda x: x.cast("double")).alias("v")
-    left = corpus.where("embedding is not null").select(F.pmod(F.xxhash64("id"), F.lit(c_blocks)).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("q"), F.col("id").cast("long").alias("key"), F.lit(0).alias("side"), vector)
-    right = queries.where("embedding is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("c"), F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("q"), F.col("query_id").cast("long").alias("key"), F.lit(1).alias("side"), vector)
+    left = corpus.where("embedding is not null").select(F.pmod(F.xxhash64("id"), F.lit(c_blocks)).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("q"), F.col("id").cast(key).alias("key"), F.lit(0).alias("side"), vector)
+    right = queries.where("embedding is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("c"), F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("q"), F.col("query_id").cast(key).alias("key"), F.lit(1).alias("side"), vector)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,7 +55,8 @@ def knn_dense(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             yield pd.DataFrame({"query_id": np.repeat(asked["key"].to_numpy(), best.shape[1]), "id": own["key"].to_numpy()[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
 
     dealt = left.unionByName(right).repartition(parts, "c", "q").sortWithinPartitions("c", "q")
-    return top_k(dealt.mapInPandas(local, "query_id long, id long, score double"), k)
+    found = dealt.mapInPandas(local, f"query_id {key}, id {key}, score double")
+    return top_k(found.select(F.col("query_id").cast(kinds[0]).alias("query_id"), F.col("id").cast(kinds[1]).alias("id"), "score"), k)
 
 
 def bm25_postings(docs: DataFrame) -> DataFrame:
@@ -104,6 +108,63 @@ def hybrid(docs: DataFrame, queries: DataFrame, k: int, pool: int = 20) -> DataF
     return top_k(rrf(dense, lexical).withColumn("score", F.round("score", 9)), k)
 
 
+def hydrated(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits (query_id, id, …) with their rows and ``cosine``, the true one also where only BM25 found a hit."""
+    asked = queries.select("query_id", F.col("embedding").alias("asked"))
+    held = hits.join(docs, "id").join(asked, "query_id")
+    return held.withColumn("cosine", F.round(cosine(F.col("asked"), F.col("embedding")), 9)).drop("asked")
+
+
+def hybrid_hits(docs: DataFrame, queries: DataFrame, k: int, pool: int = 20) -> DataFrame:
+    """Hybrid top k as query_id, id, rank, rrf_score and the true cosine."""
+    fused = hybrid(docs, queries, k, pool).withColumnRenamed("score", "rrf_score")
+    return hydrated(fused, docs.select("id", "embedding"), queries).select("query_id", "id", "rank", "rrf_score", "cosine")
+
+
+def hybrid_reranked(docs: DataFrame, queries: DataFrame, scores: DataFrame, k: int, pool: int = 10) -> DataFrame:
+    """The hybrid pool in the order of external scores (query_id, id, score); those without one come last."""
+    ordered = rerank(hybrid(docs, queries, pool, pool), scores)
+    return ordered.where(F.col("new_rank") <= k).select("query_id", "id", F.col("new_rank").alias("rank"))
+
+
+def rerank_lexical(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits (query_id, id, rank) in the order of a BM25 that knows each query's own hits only: adds score and new_rank."""
+    held = hits.select("query_id", "id", "rank").join(docs.select("id", tokens(F.col("text")).alias("words")), "id").withColumn("length", F.size("words"))
+    pool = held.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    counts = held.select("query_id", "id", "length", F.explode("words").alias("term")).join(asked, ["query_id", "term"]).groupBy("query_id", "id", "length", "term", "times").agg(F.count(F.lit(1)).alias("tf"))
+    df = counts.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
+    scored = counts.join(df, ["query_id", "term"]).join(pool, "query_id").groupBy("query_id", "id").agg(F.round(F.sum(weight), 9).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")
+    every = hits.select("query_id", "id", "rank").join(scored, ["query_id", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return every.withColumn("new_rank", F.row_number().over(order))
+
+
+def recall_batch(docs: DataFrame, queries: DataFrame, k: int, scores: DataFrame | None = None) -> DataFrame:
+    """Each question's answer by citation: query_id, ids (in order), answer (``[n] text`` of the k hits).
+
+    Candidates are min(20, max(k, 4 k)) hybrid hits, in the order of ``scores`` if given, else of a BM25 over
+    the candidates.
+    """
+    pool = min(20, max(k, 4 * k))
+    hits = hybrid(docs, queries, pool, 20)
+    ranked = rerank(hits, scores) if scores is not None else rerank_lexical(hits, docs, queries)
+    chosen = ranked.where(F.col("new_rank") <= k).join(docs.select("id", F.col("text").alias("said")), "id")
+    cited = F.struct("new_rank", "id", F.concat(F.lit("["), "new_rank", F.lit("] "), snippet(F.coalesce("said", F.lit("")))).alias("text"))
+    listed = chosen.groupBy("query_id").agg(F.array_sort(F.collect_list(cited)).alias("cited"))  # k rows a question
+    return listed.select("query_id", F.transform("cited", lambda c: c["id"]).alias("ids"), F.array_join(F.transform("cited", lambda c: c["text"]), "\n").alias("answer"))
+
+
+def rank_gain(one: DataFrame, other: DataFrame, measures: tuple[str, ...] = ("reciprocal_rank", "ndcg")) -> DataFrame:
+    """Mean measures of two conditions over the same queries, and what the first gains: measure, one, other, gain."""
+    named = other.select("query_id", *[F.col(m).alias(f"other_{m}") for m in measures])
+    means = one.join(named, "query_id").agg(*[F.avg(c).alias(c) for m in measures for c in (m, f"other_{m}")])
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("one"), F.col(f"other_{m}").alias("other"), (F.col(m) - F.col(f"other_{m}")).alias("gain")) for m in measures]))
+    return means.select(rows.alias("r")).select("r.*")
+
+
 def hybrid_mmr(docs: DataFrame, queries: DataFrame, k: int, pool: int = 20, weight: float = 0.7) -> DataFrame:
     """MMR over the hybrid pool; relevance is the cosine to the query, also of documents that only BM25 found."""
     fused = hybrid(docs, queries, pool, pool).select("query_id", "id", "rank")

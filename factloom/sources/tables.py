@@ -14,7 +14,8 @@ MEMORIES = (
 
 def read_raw_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """JSON lines by an explicit schema: (documents, malformed lines)."""
-    rows = spark.read.schema(f"{RAW_DOCUMENTS}, _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", f"{RAW_DOCUMENTS}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("r.*")
     return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.where("_corrupt_record is not null").select("_corrupt_record")
 
 
