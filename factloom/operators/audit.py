@@ -19,13 +19,19 @@ def audit_key(company: Column) -> Column:
 def with_subject(memories: DataFrame) -> DataFrame:
     """Add company_key, period ('' for null) and subject: metadata.record (a string or number that is
     not empty), else source_ref, else null."""
-    parsed = F.try_parse_json("metadata")
-    kind = F.schema_of_variant(F.try_variant_get(parsed, "$.record", "variant"))
-    record = F.when(kind.isin("STRING", "BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), F.try_variant_get(parsed, "$.record", "string"))
-    return memories.withColumns({
+    return _parsed(memories).drop("__v")
+
+
+def _parsed(memories: DataFrame) -> DataFrame:
+    """``with_subject`` and the metadata as a variant, parsed once."""
+    rows = memories.withColumn("__v", F.try_parse_json("metadata"))
+    rows = rows.withColumn("__kind", F.schema_of_variant(F.try_variant_get("__v", "$.record", "variant")))
+    scalar = F.col("__kind").isin("STRING", "BIGINT", "DOUBLE") | F.col("__kind").startswith("DECIMAL")
+    rows = rows.withColumn("__record", F.when(scalar, F.try_variant_get("__v", "$.record", "string")))
+    return rows.withColumns({
         "company_key": audit_key(F.col("company")), "period": F.coalesce("period", F.lit("")),
-        "subject": F.coalesce(F.when(record != "", record), F.when(F.col("source_ref") != "", F.col("source_ref"))),
-    })
+        "subject": F.coalesce(F.when(F.col("__record") != "", F.col("__record")), F.when(F.col("source_ref") != "", F.col("source_ref"))),
+    }).drop("__kind", "__record")
 
 
 def attributes(memories: DataFrame) -> DataFrame:
@@ -33,12 +39,12 @@ def attributes(memories: DataFrame) -> DataFrame:
 
     ``record`` and ``refs``, nulls, arrays and objects are left out; memories without a subject too.
     """
-    parsed = with_subject(memories).where("subject is not null").withColumn("v", F.try_parse_json("metadata"))
-    view = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("v").outer()))
-    kind = F.schema_of_variant("value")
-    number = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
-    typed = F.when(kind == "BOOLEAN", "b").when(number, "n").when(kind == "STRING", "s")
-    return view.where(~F.col("key").isin("record", "refs")).select(
+    parsed = _parsed(memories).where("subject is not null")
+    view = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("__v").outer()))
+    view = view.where(~F.col("key").isin("record", "refs")).withColumn("__type", F.schema_of_variant("value"))
+    number = F.col("__type").isin("BIGINT", "DOUBLE") | F.col("__type").startswith("DECIMAL")
+    typed = F.when(F.col("__type") == "BOOLEAN", "b").when(number, "n").when(F.col("__type") == "STRING", "s")
+    return view.select(
         "id", "kind", "company_key", "period", "subject", "importance", F.col("created_at").cast("timestamp").alias("created_at"), F.col("key").alias("attr"), typed.alias("type"),
         F.when(number, F.try_variant_get("value", "$", "double")).alias("number"), F.when(~number, F.try_variant_get("value", "$", "string")).alias("text"),
     ).where("type is not null")
@@ -64,35 +70,58 @@ def buckets(attrs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     return joined.withColumn("bucket", bucket).drop("firsts")
 
 
+def _value_buckets(rows: DataFrame, tolerance: float) -> DataFrame:
+    """Carriers summed up by bucket (the rule of ``buckets``), from one aggregate by value.
+
+    Numbers are sorted once a key. A gap beyond the tolerance always starts a bucket, so only a run
+    without such a gap, and not all numbers of a hot subject, is folded as an array.
+    """
+    key = [*SCOPE, "attr"]
+    measures = ("n", "importance", "authority", "created_at", "by_importance", "by_authority", "by_time")
+    values = rows.groupBy(*key, "type", "number", "text").agg(
+        F.count(F.lit(1)).alias("n"), F.max("importance").alias("importance"), F.max("authority").alias("authority"), F.max("created_at").alias("created_at"),
+        F.min(F.struct((-F.coalesce("importance", F.lit(-1.0))).alias("a"), "created_at", "id")).alias("by_importance"),
+        F.min(F.struct((-F.col("authority")).alias("a"), "created_at", "id")).alias("by_authority"),
+        F.min(F.struct((-F.unix_micros("created_at")).alias("a"), "id")).alias("by_time"),
+    )
+    by_number = Window.partitionBy(*key).orderBy("type", "number", "text")
+    starts = (F.col("type") == "n") & (F.col("number") - F.lag(F.when(F.col("type") == "n", F.col("number"))).over(by_number) <= tolerance)
+    runs = values.withColumn("start", F.when(F.coalesce(starts, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("start").over(by_number))
+    listed = runs.groupBy(*key, "type", "run").agg(F.array_sort(F.collect_list(F.struct("number", "text", *measures))).alias("held"))
+    none = F.array().cast("array<double>")
+    firsts = F.aggregate("held", none, lambda acc, x: F.when((F.size(acc) > 0) & (x["number"] - F.element_at(acc, -1) <= tolerance), acc).otherwise(F.concat(acc, F.array(x["number"]))))
+    spread = listed.withColumn("firsts", F.when(F.col("type") == "n", firsts)).select(*key, "type", "firsts", F.explode("held").alias("x"))
+    own = F.element_at(F.filter("firsts", lambda f: f <= F.col("x.number")), -1)
+    as_text = F.regexp_replace(own.cast("string"), r"\.0$", "")
+    label = F.when(F.col("type") == "n", as_text).otherwise(F.col("x.text"))
+    named = spread.select(*key, "type", label.alias("label"), *[F.col(f"x.{m}").alias(m) for m in measures])
+    # A string that reads like a numeric bucket of its key is in that bucket.
+    numeric = F.max((F.col("type") == "n").cast("int")).over(Window.partitionBy(*key, "label")) == 1
+    bucket = F.concat(F.when((F.col("type") == "s") & numeric, "n").otherwise(F.col("type")), F.lit(":"), "label")
+    return named.withColumn("bucket", bucket).groupBy(*key, "bucket").agg(F.sum("n").alias("n"), *[(F.max if m in measures[1:4] else F.min)(m).alias(m) for m in measures[1:]])
+
+
 def contradictions(memories: DataFrame, tolerance: float = TOLERANCE, authority: dict[str, int] | None = None) -> DataFrame:
     """Subjects whose attribute has at least two buckets carried by at least two memories.
 
     Columns: scope, subject, attr, n_buckets, n_carriers, winner_id, winner_bucket, rule, confidence.
     The ladder: importance, when the best two buckets differ by the margin; else the source's authority
-    (insights 1, others 2); else the latest carrier.
+    (insights 1, others 2); else the latest carrier. Ids are unique, as those of a fact table are.
     """
     key = [*SCOPE, "attr"]
-    rows = buckets(attributes(memories), tolerance)
     rank = F.lit(2)
     for kind, level in ({"insight": 1} | (authority or {})).items():
         rank = F.when(F.col("kind") == kind, F.lit(level)).otherwise(rank)
-    rows = rows.withColumn("authority", rank)
-    by_bucket = rows.groupBy(*key, "bucket").agg(
-        F.max("importance").alias("importance"), F.max("authority").alias("authority"), F.max("created_at").alias("created_at"),
-        F.collect_set("id").alias("ids"),
-        F.min(F.struct((-F.coalesce("importance", F.lit(-1.0))).alias("a"), "created_at", "id")).alias("by_importance"),
-        F.min(F.struct((-F.col("authority")).alias("a"), "created_at", "id")).alias("by_authority"),
-        F.min(F.struct((-F.unix_micros("created_at")).alias("a"), "id")).alias("by_time"),
-    )
+    by_bucket = _value_buckets(attributes(memories).withColumn("authority", rank), tolerance)
     order = lambda *c: F.row_number().over(Window.partitionBy(*key).orderBy(*c))
     best = F.coalesce("importance", F.lit(-1.0))
     ranked = by_bucket.withColumns({"ri": order(best.desc(), "bucket"), "ra": order(F.desc("authority"), "bucket"), "rt": order(F.desc("created_at"), F.col("by_time.id"))})
     pick = lambda rank, column, at: F.max(F.when(F.col(rank) == at, column))
     folded = ranked.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("n_buckets"), F.flatten(F.collect_list("ids")).alias("ids"),
+        F.count(F.lit(1)).alias("n_buckets"), F.sum("n").alias("n_carriers"),
         *[pick("ri", best, i).alias(f"i{i}") for i in (1, 2)], *[pick("ra", F.col("authority"), i).alias(f"a{i}") for i in (1, 2)], *[pick("rt", F.col("created_at"), i).alias(f"t{i}") for i in (1, 2)],
         pick("ri", F.struct("by_importance.id", "bucket"), 1).alias("wi"), pick("ra", F.struct("by_authority.id", "bucket"), 1).alias("wa"), pick("rt", F.struct("by_time.id", "bucket"), 1).alias("wt"),
-    ).withColumn("n_carriers", F.size(F.array_distinct("ids"))).where("n_buckets >= 2 and n_carriers >= 2")
+    ).where("n_buckets >= 2 and n_carriers >= 2")
     margin = F.col("i1") - F.col("i2")
     important, authoritative = margin >= IMPORTANCE_MARGIN - 1e-12, F.col("a1") > F.col("a2")
     days = (F.unix_micros("t1") - F.unix_micros("t2")) / 86.4e9
@@ -102,11 +131,16 @@ def contradictions(memories: DataFrame, tolerance: float = TOLERANCE, authority:
 
 
 def dangling_references(memories: DataFrame) -> DataFrame:
-    """References in metadata.refs whose (company, period, reference) no memory has as its subject."""
-    rows = with_subject(memories)
-    refs = rows.select("company_key", "period", "id", F.explode(F.from_json(F.get_json_object("metadata", "$.refs"), "array<string>")).alias("ref"))
-    known = rows.where("subject is not null").select("company_key", "period", F.col("subject").alias("ref"))
-    return refs.join(known, ["company_key", "period", "ref"], "left_anti").groupBy("company_key", "period", "ref").agg(F.count_distinct("id").alias("n_memories"), F.min("id").alias("first_id"))
+    """References in metadata.refs whose (company, period, reference) no memory has as its subject.
+
+    Each memory says which subject it has and which it refers to, in one pass; one aggregate by subject follows.
+    """
+    rows = _parsed(memories)
+    refs = F.coalesce(F.try_variant_get("__v", "$.refs", "array<string>"), F.array().cast("array<string>"))
+    said = F.concat(F.array(F.struct(F.col("subject").alias("ref"), F.lit(True).alias("has"))), F.transform(refs, lambda r: F.struct(r.alias("ref"), F.lit(False).alias("has"))))
+    sides = rows.select("company_key", "period", "id", F.explode(said).alias("s")).select("company_key", "period", "id", "s.ref", "s.has").where("ref is not null and ref <> ''")
+    found = sides.groupBy("company_key", "period", "ref").agg(F.max("has").alias("known"), F.count_if(~F.col("has")).alias("n"), F.count_distinct(F.when(~F.col("has"), F.col("id"))).alias("n_memories"), F.min(F.when(~F.col("has"), F.col("id"))).alias("first_id"))
+    return found.where("not known and n > 0").select("company_key", "period", "ref", "n_memories", "first_id")
 
 
 def contradiction_alerts(memories: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

@@ -60,10 +60,10 @@ def knn_dense(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def bm25_postings(docs: DataFrame) -> DataFrame:
-    """(id, text) → id, term, tf, length: term counts of each document."""
-    words = docs.select("id", F.explode(tokens(F.col("text"))).alias("term"))
-    counts = words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return counts.join(counts.groupBy("id").agg(F.sum("tf").alias("length")), "id")
+    """(id, text) → id, term, tf, length: term counts of each document, whose length is taken before words are spread."""
+    split = docs.select("id", tokens(F.col("text")).alias("words"))
+    words = split.select("id", F.size("words").cast("long").alias("length"), F.explode("words").alias("term"))
+    return words.groupBy("id", "term", "length").agg(F.count(F.lit(1)).alias("tf")).select("id", "term", "tf", "length")
 
 
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
