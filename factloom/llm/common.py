@@ -36,12 +36,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, which outlives lost executors."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Scratch:
     """Tables that an operator writes to the shared folder between its steps.
 
@@ -65,6 +59,8 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Node of a further text or vector of an id: above every id, so that a component is named by an id where it has one.
+FURTHER = 1 << 62
 #: Bits of a membership bitmap for each key, and the most that one has (8 MB), however many keys there are.
 BITS_PER_KEY, MOST_BITS = 16, 1 << 26
 

@@ -10,15 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, setsketch
-from .common import Scratch, maybe_in, partitions, without
+from .common import FURTHER, Scratch, maybe_in, partitions, without
 from .components import connected_components
 
 #: An estimate this far below the threshold (over six standard errors) ends a pair without comparing sets.
 ESTIMATE_MARGIN = 0.22
 #: Bands are compared in blocks of at most BLOCK members and about BLOCK_SHINGLES shingles.
 BLOCK, BLOCK_SHINGLES = 1000, 1 << 20
-#: Node of a further text of a doc_id: above every doc_id, so that a component is named by a doc_id where it has one.
-FURTHER = 1 << 62
 #: Pairs of sketches that are compared at once.
 AT_ONCE = 4096
 
@@ -325,11 +323,13 @@ def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     named = with_node(rows.drop("bands")).select("doc_id", "text_key", "n_shingles", "node").join(copies, "node", "left")
     named = named.withColumn("rep", F.coalesce("rep", "node")).join(final, "rep", "left").withColumn("least", F.coalesce("component", "rep"))
-    component = F.col("least")
-    if again:  # a component without any plain node goes by the doc_id of its least node
-        further = with_node(rows.drop("bands")).where(F.col("node") >= FURTHER).groupBy(F.col("node").alias("least")).agg(F.min("doc_id").alias("owner"))
-        named, component = named.join(further, "least", "left"), F.coalesce("owner", "least")
-    kept = F.coalesce(F.col("node") == F.col("least"), F.lit(True))
+    component, first = F.col("least"), F.col("least")
+    if again:  # where a component has a further text, its smallest doc_id may be that text's
+        mixed = named.where(F.col("node") >= FURTHER).select("least").distinct()
+        best = named.join(mixed, "least").groupBy("least").agg(F.min(F.struct("doc_id", "node")).alias("best"))
+        named = named.join(best, "least", "left")
+        component, first = F.coalesce("best.doc_id", "least"), F.coalesce("best.node", "least")
+    kept = F.coalesce(F.col("node") == first, F.lit(True))
     return named.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
@@ -380,8 +380,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
     Texts that are null or without words link with nothing. Rows with a null doc_id can't be linked:
     their component is null and they are kept. Rows that repeat a doc_id and its set count as one
-    document; another set under that doc_id is a document of its own, kept or not by itself, whose
-    component goes by the doc_id. Other columns are not read. An empty table gives no rows.
+    document; another set under that doc_id is a document of its own, with links of its own, and kept or
+    not by itself. Other columns are not read. An empty table gives no rows.
     """
     return _judged(docs, shingle_words, percent).drop("text_key")
 

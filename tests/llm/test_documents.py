@@ -68,9 +68,8 @@ def variants(seed=3):
     return texts
 
 
-@pytest.mark.parametrize("block", [1000, 4])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
+def test_near_duplicates_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
     monkeypatch.setattr(near_dedup, "AT_ONCE", 7)
     texts = EDGE + variants() + ["a b c d e f"] * 5
     want, sizes = near_truth(texts, 2, 80)
@@ -97,6 +96,8 @@ def test_near_copies_drop_rows_not_doc_ids(spark):
     assert found == sorted([(9, 34, 5, False), (9, 5, 9, True), (5, 35, 5, True), (5, 35, 5, True), (7, 5, 7, True), (7, 5, 7, True), (-1, 34, None, True)])
     kept = near_dedup.keep_one(docs, 2, 80).collect()
     assert sorted(map(tuple, kept), key=str) == sorted([r for r in rows if r != (9, base)], key=str)
+    other = spark.createDataFrame([(1, "x y z"), (1, base), (3, base + " 0")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(other, 2, 80).collect()) == [(1, 1, True), (1, 1, True), (3, 1, False)]
     two = spark.createDataFrame([(9, base), (9, base + " 0"), (3, "x")], "doc_id long, text string")
     found = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(two, 2, 80).collect())
     assert found == [(3, 3, True), (9, 9, False), (9, 9, True)]
@@ -273,7 +274,7 @@ def test_mixing_meets_targets(spark):
     assert mixing.rates(docs.withColumn("lang", F.lit(None).cast("string"))).count() == len(texts)
 
 
-@pytest.mark.parametrize("least, weights", [(0.0, [1.0, 2.0, 3.0]), (0.0, [0.0, 1.0, 1.0]), (0.0, [50.0, 1.0, 1.0]), (1.0, [1.0, 2.0, 3.0])])
+@pytest.mark.parametrize("least, weights", [(0.0, [1.0, 2.0, 3.0]), (0.0, [0.0, 1.0, 1.0]), (1.0, [1.0, 2.0, 3.0])])
 def test_rates_equal_numpy_gradient(spark, least, weights):
     """Against plain projected-gradient least squares of a rate a document, also where a bound binds."""
     rng = np.random.default_rng(2)

@@ -163,3 +163,12 @@ def test_vectors_equal_brute_force(spark, monkeypatch, block):
     rows = embedding_dedup.near_vectors(frame, 0.98).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rows} == {i: (links[i], find(i), find(i) == i) for i in label}
     assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
+
+
+def test_vectors_of_repeated_ids(spark):
+    near = lambda x, y: [float(x), float(y), 0.0]
+    rows = [(1, 5, near(1, 0)), (1, 5, near(0, 1)), (2, 5, near(1, 0.01)), (3, 5, near(0.01, 1)), (1, 6, near(1, 0)), (4, 6, near(1, 0.01)), (3, 5, near(0.01, 1)), (None, 5, near(1, 0))]
+    for kind in ("float", "double"):
+        docs = spark.createDataFrame(rows, f"vec_id long, label int, embedding array<{kind}>")
+        got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(docs, 0.98).collect())
+        assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (1, 2, 1, True), (3, 2, 1, False), (3, 2, 1, False), (1, 1, 1, True), (4, 1, 1, False), (0, 0, None, True)])
