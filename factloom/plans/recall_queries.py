@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import shuffled
-from ..operators import audit, lifecycle, reports, retrieval
+from ..operators import audit, grounding, lifecycle, reports, retrieval
 from .facts import MEMORIES_SQL, memories, table
 from .queries import _TOKENS, ORACLES, _knn_sql, _vectors, ir_metrics_all, query
 
@@ -204,3 +204,25 @@ def apply_supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = audit.with_subject(memories(spark, sf_dir)).withColumns(none)
     plan = rows.where("id like 'b-%'").select(F.col("id").alias("winner_id"), F.concat(F.lit("a-"), F.substring_index("id", "-", -1)).alias("loser_id"))
     return lifecycle.apply_supersede(rows, plan, "2000-01-01 00:00:00").select("id", "superseded_at", "superseded_by")
+
+
+@query("""
+SELECT o_orderkey AS query_id, CASE o_orderkey % 6 WHEN 0 THEN 'grounded' WHEN 1 THEN 'unsupported_numeric_claim' WHEN 2 THEN 'invalid_or_missing_citation'
+  WHEN 3 THEN 'unsupported_numeric_claim' WHEN 4 THEN 'unsupported_numeric_claim' ELSE 'invalid_or_missing_citation' END AS status, 5 + (o_orderkey % 6 = 5)::INT * 2 AS n_claims
+FROM orders""")
+def grounding_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer on each order and the two facts that it cites: some say a wrong amount, currency or number of items,
+    one in six cites nothing in range, and one in six has a clause without a marker."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    n = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    rows = orders.select("o_orderkey", F.pmod("o_orderkey", F.lit(6)).alias("k"), F.round("o_totalprice", 2).alias("total")).join(n, "o_orderkey", "left").na.fill(0, ["n"])
+    amount = lambda x: F.format_string("%.2f", x)
+    k, total, items = F.col("k"), F.col("total"), F.col("n")
+    text = F.concat(
+        F.lit("It cost "), F.when(k == 3, "GBP ").otherwise("EUR "), amount(F.when(k == 1, total + 1).otherwise(total)), F.lit(" "), F.when(k == 2, "[7]").otherwise("[1]"),
+        F.lit("; it had "), F.when(k == 4, items + 1).otherwise(items).cast("string"), F.lit(" documents [2]"), F.when(k == 5, "; and 3 days passed.").otherwise("."),
+    )
+    answers = rows.select(F.col("o_orderkey").alias("query_id"), text.alias("text"))
+    facts = [F.struct(F.lit(1).cast("long").alias("marker"), F.concat(F.lit("Total of EUR "), amount(total), F.lit(".")).alias("text")), F.struct(F.lit(2).cast("long").alias("marker"), F.concat(items.cast("string"), F.lit(" documents.")).alias("text"))]
+    cited = rows.select(F.col("o_orderkey").alias("query_id"), F.inline(F.array(*facts)))
+    return grounding.grounding_check(answers, cited)

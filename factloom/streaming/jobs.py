@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..functions.scalars import request_hash
 from ..operators import audit, lifecycle
 
 
@@ -14,6 +15,16 @@ def ingest_dedup(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
     return stream.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["tenant_id", "idempotency_key"])
 
 
+def ingest_conflicts(stream: DataFrame, payload: list[str]) -> DataStreamWriter:
+    """(tenant_id, idempotency_key, n) of keys that come with different payloads; again whenever n rises.
+
+    The state is two hashes and a count for each key ever seen; keep it in RocksDB. Null keys never collide.
+    """
+    marked = stream.where("idempotency_key is not null").withColumn("mark", request_hash(*payload))
+    seen = marked.groupBy("tenant_id", "idempotency_key").agg(F.count(F.lit(1)).alias("n"), F.min("mark").alias("low"), F.max("mark").alias("high"))
+    return seen.where("low <> high").drop("low", "high").writeStream.outputMode("update")
+
+
 def daily_usage(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """Units per UTC day, bucket and subject; rows later than the watermark are dropped."""
     return stream.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day").alias("day"), "bucket", "subject").agg(F.sum("units").alias("units"))
