@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, html_text, importance, language_id, mixing, near_dedup, quality, sharding, spelling, url_filter
+from . import bpe, embedding_dedup, exact_dedup, html_text, importance, language_id, mixing, near_dedup, quality, sharding, spelling, toxicity, url_filter
 from .common import shared_path, table
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -65,6 +65,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_sharding, op2_url_filter, op3_html_text, op4_language_id, op5_mixing, op6_embedding_dedup, op7_quality, op8_near_dedup, op9_bpe, op10_exact_dedup, op11_importance, op12_spelling, pipeline)
+    found = (op1_sharding, op2_url_filter, op3_html_text, op4_language_id, op5_mixing, op6_embedding_dedup, op7_quality, op8_near_dedup, op9_bpe, op10_exact_dedup, op11_importance, op12_spelling, op13_toxicity, pipeline)
     return {query.__name__: query for query in found}
 
 
