@@ -18,11 +18,17 @@ from .decision_tree import Node, grow, positive
 # HTML element names and words of class and id attributes.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 RAW = ("script", "style", "textarea", "title")  # up to their end tag or the end of the page
-SILENT = frozenset(("template", "svg", "iframe", "button", "select"))  # up to their end tag, if there is one
+SILENT = frozenset(("template", "svg", "iframe", "button", "select", "noscript"))  # up to their end tag, if there is one
 AROUND = frozenset("nav header footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Words that mostly name what stands beside an article, and words that name parts of articles as well.
-STRONG = regex.compile(r"(?<![a-z])(?<!has-|with-)(ads?|advert\w*|adslot|sponsor\w*|promo\w*|sidebar|menu|nav\w*|breadcrumbs?|footer|masthead|comments?|comment-?list|disqus|replies|respond|cookies?|consent|notices?|popup|modal|newsletter|subscribe|signup|login|related|recommended|pagination|pager|copyright)(?![a-z])", regex.I)
+_STRONG = r"ads?|advert\w*|adslot|sponsor\w*|promo\w*|sidebar|menu|nav\w*|breadcrumbs?|footer|masthead|comments?|comment-?list|disqus|replies|respond|cookies?|consent|notices?|popup|modal|newsletter|subscribe|signup|login|related|recommended|teasers?|pagination|pager|copyright"
+STRONG = regex.compile(rf"(?<![a-z])(?<!has-|with-|no-)({_STRONG})(?![a-z])", regex.I)
+# A whole class name that is such a word, or such a word and the name of a part: not a layout that mentions it.
+BOXED = regex.compile(rf"(?<!\S)({_STRONG})(?:[-_]{{1,2}}(?:area|block|body|box|card|content|entry|item|list|post|section|wrapper))?(?!\S)", regex.I)
+BESIDE = frozenset("nav footer aside menu dialog".split())
+# A line of rights under a page's text.
+RIGHTS, RIGHTS_WORDS = regex.compile(r"^(?:©|\(c\)|copyright\b)|\ball rights reserved\b", regex.I), 25
 WEAK = regex.compile(r"(?<![a-z])(?<!has-|with-)(banner|side|header|reply|alert|overlay|share|sharing|social|widget|toolbar|legal|disclaimer)(?![a-z])", regex.I)
 
 _TOKEN = regex.compile(
@@ -97,7 +103,7 @@ def markup(page: str) -> list[tuple[regex.Match, int]]:
 def text_blocks(page: str) -> list[TextBlock]:
     """The page as flat blocks. Open elements are kept on a stack, which an end tag cuts back to its match."""
     blocks: list[TextBlock] = []
-    stack: list[tuple[str, int, int, int, int, int, int]] = []  # name, around, strong, weak, article, heading, label
+    stack: list[tuple[str, int, int, int, int, int, int, int]] = []  # name, around, strong, weak, article, heading, label, boxed
     opened: dict[str, int] = {}
     parts: list[str] = []
     linked, at = 0, 0
@@ -112,7 +118,10 @@ def text_blocks(page: str) -> list[TextBlock]:
         words = (html.unescape(text) if "&" in text else text).split()
         if words:
             text = " ".join(words)
-            blocks.append(TextBlock(text, len(words), linked, *(stack[-1][1:] if stack else (0, 0, 0, 0, 0, -1))))
+            block = TextBlock(text, len(words), linked, *(stack[-1][1:7] if stack else (0, 0, 0, 0, 0, -1)))
+            if not block.article and block.words <= RIGHTS_WORDS and RIGHTS.search(text):
+                block.strong += 1
+            blocks.append(block)
         linked = 0
 
     def close(name: str) -> None:
@@ -157,47 +166,61 @@ def text_blocks(page: str) -> list[TextBlock]:
             continue
         if name in ("p", "li", "td", "tr", "dt", "dd", "option") and any(open_name == name for open_name, *_ in stack[-4:]) and stack[-1][0] not in ("ul", "ol", "table", "tbody", "dl"):
             close(name)  # an unclosed sibling ends here, with what is still open inside it
-        _, around, strong, weak, article, heading, label = stack[-1] if stack else ("", 0, 0, 0, 0, 0, -1)
+        _, around, strong, weak, article, heading, label, boxed = stack[-1] if stack else ("", 0, 0, 0, 0, 0, -1, 0)
         inside = name == "article" or name == "main"
-        if inside:  # what an article stands in says nothing of its parts
-            around = strong = weak = 0
+        if inside and not article and (name == "main" or not boxed):  # the layout around the outermost article says nothing of its parts
+            around = strong = weak = boxed = 0
         attrs = match["attrs"]
+        boxed += name in BESIDE
         if attrs and _TELLING.search(attrs):
             named = " ".join(a or b or c for a, b, c in _NAMED.findall(attrs))
-            if named and not inside and name not in ("body", "html"):
-                strong += bool(STRONG.search(named))
-                weak += bool(WEAK.search(named))
+            if named and name not in ("body", "html"):
+                whole = bool(STRONG.search(named)) and bool(BOXED.search(named))
+                boxed += whole
+                strong += whole if inside else bool(STRONG.search(named))
+                weak += not inside and bool(WEAK.search(named))
             strong += bool(_HIDDEN.search(attrs))
             marked = _LABEL.search(attrs)
             label = int(marked[1]) if marked else label
         opened[name] = opened.get(name, 0) + 1
-        stack.append((name, around + (name in AROUND and not (name == "header" and article)), strong, weak, article or int(inside), int(name in ("h1", "h2", "h3", "h4", "h5", "h6")) or heading, label))
+        stack.append((name, around + (name in AROUND and not (name == "header" and article)), strong, weak, article or int(inside), int(name in ("h1", "h2", "h3", "h4", "h5", "h6")) or heading, label, boxed))
     add(page[at:])
     end_block()
     return blocks
 
 
-FEATURES = ("words", "density", "words before", "density before", "words after", "density after", "around", "strong", "weak", "article", "heading", "has article")
+FEATURES = ("words", "density", "words before", "density before", "words after", "density after", "around", "strong", "weak", "article", "heading", "has article", "words before links", "heading before links", "words after links")
 
 
 def features(blocks: list[TextBlock]) -> list[list[float]]:
-    """``FEATURES`` of each block: word counts and link densities of it and its neighbours, and where it stands."""
+    """``FEATURES`` of each block: word counts and link densities of it and its neighbours, and where it stands.
+
+    The neighbours of a run of mostly linked blocks are the blocks around the run: a list of sources stands
+    between paragraphs, a list of other pages under its heading.
+    """
     if not blocks:
         return []
     edge = TextBlock("", 0, 0, 0, 0, 0, 0, 0, -1)
     has_article = float(any(b.article for b in blocks))
+    padded = [edge, *blocks, edge]
+    above, below = [edge] * len(padded), [edge] * len(padded)
+    for i in range(1, len(padded)):
+        above[i] = above[i - 1] if padded[i - 1].density >= 0.5 else padded[i - 1]
+    for i in range(len(padded) - 2, -1, -1):
+        below[i] = below[i + 1] if padded[i + 1].density >= 0.5 else padded[i + 1]
     rows = []
-    for before, own, after in zip([edge, *blocks[:-1]], blocks, [*blocks[1:], edge], strict=True):
-        rows.append([own.words, own.density, before.words, before.density, after.words, after.density, float(own.around > 0), float(own.strong > 0), float(own.weak > 0), float(own.article > 0), float(own.heading), has_article])
+    for i, own in enumerate(blocks, 1):
+        before, after = padded[i - 1], padded[i + 1]
+        rows.append([own.words, own.density, before.words, before.density, after.words, after.density, float(own.around > 0), float(own.strong > 0), float(own.weak > 0), float(own.article > 0), float(own.heading), has_article, above[i].words, float(above[i].heading), below[i].words])
     return rows
 
 
-def labelled_pages(count: int = 400, seed: int = 5) -> list[str]:
+def labelled_pages(count: int = 800, seed: int = 5) -> list[str]:
     """The labelled table: small pages by rule, whose ``data-label`` says whether an element's text is main text.
 
     Half have an article element, some only a main, the others neither. What stands beside the text is
     marked by elements, by class words or not at all; class words also stand on parts of the text. Link
-    lists and their headings stand inside articles too, without a mark.
+    lists and their headings stand inside articles too, without a mark; linked sources without a heading are text.
     """
     rng = random.Random(seed)
     words = lambda low, high: " ".join("text" for _ in range(rng.randint(low, high)))
@@ -254,6 +277,9 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[str]:
         parts = [f"<h1>{words(2, 10)}</h1>"] * (rng.random() < 0.9) + [text() for _ in range(rng.randint(1, 9))]
         if kind == 3:
             parts = [part for part in parts if len(part.split()) > 6] or [f"<p>{words(30, 60)}</p>"]
+        if kind < 3 and rng.random() < 0.3:
+            sources = many(2, 4, lambda: f"<li>{link(2, 9)}</li>")
+            parts.insert(rng.randint(1, len(parts)), f"<p>{words(8, 60)}</p><ul>{sources}</ul><p>{words(8, 60)}</p>")
         for _ in range(rng.randint(0, 2) if kind < 3 else 0):
             parts.insert(rng.randint(1, len(parts)), box())
         body = "".join(parts)

@@ -172,3 +172,30 @@ def test_vectors_of_repeated_ids(spark):
         docs = spark.createDataFrame(rows, f"vec_id long, label int, embedding array<{kind}>")
         got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(docs, 0.98).collect())
         assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (1, 2, 1, True), (3, 2, 1, False), (3, 2, 1, False), (1, 1, 1, True), (4, 1, 1, False), (0, 0, None, True)])
+
+
+LONG = "<p>The wind rose at noon and by three the boats had all come home, and nobody was hurt by the storm that day.</p>"
+SAID = "<p>Reader Max writes that he liked this very much and will come back to read it again tomorrow.</p>"
+
+
+@pytest.mark.parametrize("page, lost", [
+    (f"<article>{LONG}<article class='comment'>{SAID}</article></article>", "Reader"),
+    (f"<article>{LONG}</article><article class='advert sponsored'>{SAID}</article>", "Reader"),
+    (f"<article>{LONG}</article><aside class='related'><article>{SAID}</article></aside>", "Reader"),
+    (f"<article>{LONG}</article><div class='comments'><article>{SAID}</article></div>", "Reader"),
+    (f"<article>{LONG}</article><section class='teaser-list'><article>{SAID}</article></section>", "Reader"),
+    (f"<article>{LONG}<noscript>{SAID}</noscript>{LONG}</article>", "Reader"),
+    (f"<body><div><h1>A day at sea</h1>{LONG}{LONG}</div><div>Copyright 2024 The Daily Example, all rights reserved</div></body>", "Copyright"),
+])
+def test_boxes_named_by_their_own_class(page, lost):
+    text = html_text.main_text(page, html_text.train())
+    assert "boats had all come home" in text and lost not in text
+
+
+def test_linked_sources_between_paragraphs_stay():
+    links = "<ul><li><a href=x>The harbour's log of that year</a></li><li><a href=y>A letter of the keeper</a></li></ul>"
+    read = lambda page: html_text.main_text(page, html_text.train())
+    assert "harbour's log" in read(f"<article><h1>A day at sea</h1>{LONG}{links}{LONG}</article>")
+    assert "harbour's log" not in read(f"<article><h1>A day at sea</h1>{LONG}<h3>Read more</h3>{links}{LONG}</article>")
+    layout = f"<body><div class='layout no-sidebar'><article class='post comment-status-open'>{LONG}</article></div></body>"
+    assert "boats" in read(layout)
