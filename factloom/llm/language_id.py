@@ -137,10 +137,11 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, seed: int = 7) ->
 def training_sample(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """At most ``docs_per_language`` documents of each language, and pieces from all over their texts.
 
-    Each language has that many slots; the document of least hash in a slot is its sample. The slots
-    are a partial aggregate over two narrow columns, and only the pieces reach the driver.
+    Each language has that many slots; the document of least hash, of doc_id and text, in a slot is its sample.
+    The slots are a partial aggregate over narrow columns. Rows of one hash are cut to one before anything is
+    collected, so only the pieces of so many documents reach the driver, however often rows are repeated.
     """
-    hashed = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id").alias("hash"))
+    hashed = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
     slots = hashed.select("lang", "hash").groupBy("lang", F.pmod("hash", F.lit(docs_per_language)).alias("slot")).agg(F.min("hash").alias("hash"))
     chosen = [(row.lang, row.hash) for row in slots.select("lang", "hash").collect()]
     if not chosen:
@@ -149,7 +150,8 @@ def training_sample(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGU
     small = F.broadcast(hashed.sparkSession.createDataFrame(chosen, "lang string, hash long"))
     start = lambda i: (F.length("text") * F.lit((2 * i + 1) / (2 * WINDOWS_PER_DOC)) - WINDOW / 2).cast("int")
     pieces = F.array(*[F.col("text").substr(F.greatest(start(i), F.lit(1)), F.lit(WINDOW)) for i in range(WINDOWS_PER_DOC)])
-    rows = hashed.join(small, ["lang", "hash"]).select("lang", F.explode(F.array_distinct(pieces)).alias("piece")).collect()
+    one = hashed.join(small, ["lang", "hash"]).select("lang", "hash", pieces.alias("pieces")).groupBy("lang", "hash").agg(F.min("pieces").alias("pieces"))
+    rows = one.select("lang", F.explode(F.array_distinct("pieces")).alias("piece")).collect()
     rows = sorted((row.lang, row.piece) for row in rows if _LETTER.search(row.piece))
     return [piece for _, piece in rows], [lang for lang, _ in rows]
 
