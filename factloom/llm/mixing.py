@@ -48,17 +48,19 @@ class Classifier:
 def train(labelled: DataFrame, docs_per_domain: int = DOCS_PER_DOMAIN, words_per_domain: int = WORDS_PER_DOMAIN) -> Classifier:
     """Fit on ``labelled`` (doc_id, text, domain); null domains are left out.
 
-    Of each domain at most ``docs_per_domain`` documents are used, those of least hash in as many
+    Of each domain at most ``docs_per_domain`` documents are used, those of least hash (of doc_id and text) in as many
     slots. A word tells a domain by how much more often it is there than in any other.
     """
-    rows = labelled.where("domain is not null and text is not null").select(F.col("domain").cast("string").alias("domain"), "text", F.xxhash64("doc_id").alias("hash"))
+    rows = labelled.where("domain is not null and text is not null").select(F.col("domain").cast("string").alias("domain"), "text", F.xxhash64("doc_id", "text").alias("hash"))
     slots = rows.select("domain", "hash").groupBy("domain", F.pmod("hash", F.lit(docs_per_domain)).alias("slot")).agg(F.min("hash").alias("hash"))
     # Bounded by docs_per_domain rows a domain.
     chosen = [(row.domain, row.hash) for row in slots.select("domain", "hash").collect()]
     if not chosen:
         return Classifier([], [], [])
     small = rows.sparkSession.createDataFrame(chosen, "domain string, hash long")
-    sample = rows.join(F.broadcast(small), ["domain", "hash"]).select("domain", F.explode(F.split("text", _SPACE)).alias("word")).where("word <> ''")
+    # Repeated rows have one hash and are one row of the sample.
+    one = rows.join(F.broadcast(small), ["domain", "hash"]).groupBy("domain", "hash").agg(F.min("text").alias("text"))
+    sample = one.select("domain", F.explode(F.split("text", _SPACE)).alias("word")).where("word <> ''")
     counts = Scratch(rows.sparkSession, "words").store("words", sample.groupBy("domain", "word").agg(F.count(F.lit(1)).alias("n")))
     totals = {row[0]: row[1] for row in counts.groupBy("domain").agg(F.sum("n")).collect()}
     domains = sorted({domain for domain, _ in chosen})
