@@ -16,6 +16,8 @@ WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 16
 #: Bound of the training sample: documents a language, windows a document.
 DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 700, 3
 UNKNOWN = "und"
+#: Rows that are predicted and returned at once.
+SLICE = 256
 _LETTER = regex.compile(r"\p{L}")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -159,26 +161,28 @@ def training_sample(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGU
 def _predict_batches(net: ByteConvNet | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fast = net and FastForward(net)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            langs, scores, at = [], [], 0
-            while at < len(texts):
-                run_of, held = [], 0
-                while at < len(texts) and held < 1 << 21:
-                    run_of.append(texts[at])
-                    held += len(texts[at] or "")
-                    at += 1
-                known = [i for i, text in enumerate(run_of) if fast and text and _LETTER.search(text)]
-                lang, score = [UNKNOWN] * len(run_of), [0.0] * len(run_of)
-                if known:
-                    windows, counts, lengths = windows_of([run_of[i].encode("utf-8", "surrogatepass") for i in known])
-                    starts = np.cumsum(counts) - counts
-                    mean = np.add.reduceat(fast(windows) * lengths[:, None], starts) / np.add.reduceat(lengths, starts)[:, None]
-                    for i, best, top in zip(known, mean.argmax(axis=1), mean.max(axis=1), strict=True):
-                        lang[i], score[i] = net.languages[best], float(min(1.0, top))
-                langs += lang
-                scores += score
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "__lang_pred", "__score"])
+        for whole in batches:
+            # Slices, so that neither the texts as strings nor what is returned exist for a whole batch at once.
+            for batch in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
+                texts = batch.column(0).to_pylist()
+                langs, scores, at = [], [], 0
+                while at < len(texts):
+                    run_of, held = [], 0
+                    while at < len(texts) and held < 1 << 21:
+                        run_of.append(texts[at])
+                        held += len(texts[at] or "")
+                        at += 1
+                    known = [i for i, text in enumerate(run_of) if fast and text and _LETTER.search(text)]
+                    lang, score = [UNKNOWN] * len(run_of), [0.0] * len(run_of)
+                    if known:
+                        windows, counts, lengths = windows_of([run_of[i].encode("utf-8", "surrogatepass") for i in known])
+                        starts = np.cumsum(counts) - counts
+                        mean = np.add.reduceat(fast(windows) * lengths[:, None], starts) / np.add.reduceat(lengths, starts)[:, None]
+                        for i, best, top in zip(known, mean.argmax(axis=1), mean.max(axis=1), strict=True):
+                            lang[i], score[i] = net.languages[best], float(min(1.0, top))
+                    langs += lang
+                    scores += score
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "__lang_pred", "__score"])
 
     return run
 
