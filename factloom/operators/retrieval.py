@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blocks import groups
 from ..functions.scalars import cosine, snippet, tokens
+from . import scan_topk
 
 K1, B, RRF = 1.5, 0.75, 60
 BLOCK = 2048
@@ -25,10 +26,17 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
 def knn_dense(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Cosine top-k: corpus (id, embedding) by queries (query_id, embedding) → query_id, id, score, rank.
 
-    Both sides are cut into blocks and each pair of blocks is one matrix product that keeps its own
-    top k, so the shuffled scores are queries * corpus blocks * k. Nothing is broadcast; null vectors
-    are left out and zero vectors score 0. Ids of both sides are integers or strings and keep their type.
+    Questions of up to ``scan_topk.MOST_BYTES`` go to every task of one scan of the corpus, which is not shuffled.
+    More questions meet the corpus in blocks. Null vectors are left out and zero vectors score 0. Ids of both
+    sides are integers or strings and keep their type.
     """
+    scanned = scan_topk.knn(corpus, queries, k)
+    return _knn_blocks(corpus, queries, k) if scanned is None else top_k(scanned, k)
+
+
+def _knn_blocks(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Both sides cut into blocks; each pair of blocks is one matrix product that keeps its own top k, so the
+    shuffled scores are queries * corpus blocks * k, and nothing is broadcast."""
     spark = corpus.sparkSession
     kinds = [dict(side.dtypes)[name] for side, name in ((queries, "query_id"), (corpus, "id"))]
     kinds = ["string" if kind == "string" else "long" for kind in kinds]
@@ -85,8 +93,23 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return asked.join(terms, "term").join(postings, "term").groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
 
 
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> DataFrame:
+    """BM25 top-k of documents that share a term, scores rounded to ``digits``: query_id, id, score, rank.
+
+    Questions of up to ``scan_topk.MOST_BYTES`` (terms by questions) go to every task; the corpus is scanned and each
+    task sends its own k best. More questions meet the postings in a join.
+    """
+    scanned = scan_topk.bm25(docs, queries, k, K1, B, digits)
+    return top_k(bm25(docs, queries).withColumn("score", F.round("score", digits)) if scanned is None else scanned, k)
+
+
 def lexical_conjunctive(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id of the documents that hold every distinct term of a query."""
+    """query_id, id of the documents that hold every distinct term of a query; a query without terms has none."""
+    scanned = scan_topk.holding_all(docs, queries)
+    return _conjunctive_joined(docs, queries) if scanned is None else scanned
+
+
+def _conjunctive_joined(docs: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     needed = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
     held = docs.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
@@ -95,8 +118,8 @@ def lexical_conjunctive(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """BM25 top-k: query_id, id, score, rank; documents that share no term score 0 and fill up by id."""
-    scored = bm25(docs, queries).withColumn("score", F.round("score", 9))
-    # Where fewer than k documents are scored, the k smallest ids hold all that are needed.
+    scored = bm25_top(docs, queries, k).drop("rank")
+    # Where fewer than k documents are scored, all of them are here, and the k smallest ids hold all that are needed.
     padding = docs.select("id").orderBy("id").limit(k).crossJoin(queries.select("query_id")).join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti")
     return top_k(scored.unionByName(padding.withColumn("score", F.lit(0.0))), k)
 
@@ -199,7 +222,9 @@ def mmr(pool: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
             out.append(left.pop(int(np.argmax(gain))))
         return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "id": rows["id"].to_numpy()[out], "rank": range(1, len(out) + 1)})
 
-    return pool.groupBy("query_id").applyInPandas(choose, "query_id long, id long, rank int")
+    kinds = [scan_topk.kind_of(pool, name) for name in ("query_id", "id")]
+    typed = pool.withColumns({name: F.col(name).cast(kind) for name, kind in zip(("query_id", "id"), kinds, strict=True)})
+    return typed.groupBy("query_id").applyInPandas(choose, f"query_id {kinds[0]}, id {kinds[1]}, rank int")
 
 
 def rerank(hits: DataFrame, scores: DataFrame) -> DataFrame:

@@ -166,8 +166,7 @@ s AS (SELECT query_id, id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5))
 SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
 def bm25_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    scored = retrieval.bm25(docs, _questions(spark, sf_dir)).withColumn("score", F.round("score", 6))
-    return retrieval.top_k(scored, 10)
+    return retrieval.bm25_top(docs, _questions(spark, sf_dir), 10, 6)
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:

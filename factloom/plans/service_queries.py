@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import admission
+from ..functions.scalars import tokens
+from ..operators import admission, retrieval
 from .facts import table
-from .queries import query
+from .queries import _TOKENS, query
 
 
 @query("""
@@ -24,3 +25,14 @@ def daily_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.col("user_id")
     charges = table(spark, sf_dir, "events").select("ts", F.col("event_id").alias("id"), F.col("event_type").alias("bucket"), F.concat(F.lit("team-"), user % 3).alias("subject"), F.col("value").alias("units"), (500 + 100 * (user % 5)).alias("limit"))
     return admission.daily_admitted(charges)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id AS id, {_TOKENS.format('text')} AS t FROM documents),
+q AS (SELECT id AS query_id, list_distinct(t[5:9]) AS t FROM d WHERE id % 100 = 0)
+SELECT query_id, count(*) AS n_documents, min(d.id) AS first_id FROM q JOIN d ON list_has_all(d.t, q.t) WHERE len(q.t) > 0 GROUP BY 1""")
+def lexical_conjunctive_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five words in a row of every hundredth document: which documents hold them all."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = docs.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 5, 5), " ").alias("text"))
+    return retrieval.lexical_conjunctive(docs, asked).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_documents"), F.min("id").alias("first_id"))
