@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from ..functions.scalars import round_up, slug, valid_period
+from ..functions.scalars import round_up, slug, valid_date, valid_period
 
 CENT = 0.01
 TOTALS = ("gross_pay_total", "employer_cost_total", "employer_social_security_total", "net_pay_total")
+#: What extraction calls the documents that fusion knows by a shorter name, and the run of a month without a name.
+KINDS = {"payroll_register": "register", "bank_confirmation": "bank"}
+MONTHLY = "monthly-consolidated"
 SLIP_FIELDS = ("gross", "employee_social_security", "tax", "net", "employer_social_security", "employer_cost")
 
 
@@ -39,12 +43,22 @@ def fuse_events(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The first document by id gives each field; a later value that differs from it by more than a cent is
     a conflict. A group needs a register and a bank document and at most one currency. An employee has
-    one payslip, that of the first document, under the same rule.
+    one payslip, that of the first document, under the same rule. The count of employees is the register's, else
+    the bank's, which may not contradict it, else that of the payslips; ``declared_count`` says whether a document gave it.
+
+    Labels are compared with white space collapsed and in lower case; ``ingest.nfkc_labels`` goes before it where they may
+    be full-width. An event's id names company and run by a hash and the period in plain. Document types may
+    be those of extraction (``KINDS``).
     """
-    keyed = docs.withColumns({"company_label": F.col("company"), "company": F.lower(F.trim(F.regexp_replace("company", r"\s+", " "))), "event_ref": F.lower(F.trim(F.coalesce("event_ref", F.lit(""))))})
+    spaced = lambda column: F.trim(F.regexp_replace(F.col(column), r"\s+", " "))
+    kind = F.col("doc_type")
+    for long, short in KINDS.items():
+        kind = F.when(F.col("doc_type") == long, short).otherwise(kind)
+    ref = F.coalesce(F.nullif(F.lower(spaced("event_ref")), F.lit("")), F.lit(MONTHLY))
+    keyed = docs.withColumns({"company_label": spaced("company"), "company": F.lower(spaced("company")), "event_ref": ref, "doc_type": kind, "currency": F.nullif(F.upper(F.trim("currency")), F.lit(""))})
     group = ["company", "period", "event_ref"]
     own = lambda kind, name: F.when(F.col("doc_type") == kind, F.col(name))
-    fields = {f"{kind}_{name}": own(kind, name) for kind, names in {"register": (*TOTALS[:3], "employee_count"), "bank": ("net_pay_total", "payment_date")}.items() for name in names}
+    fields = {f"{kind}_{name}": own(kind, name) for kind, names in {"register": (*TOTALS[:3], "employee_count"), "bank": ("net_pay_total", "payment_date", "employee_count")}.items() for name in names}
     start = lambda value: F.min_by(value, F.when(value.isNotNull(), F.col("doc_id")))
     apart = lambda value: F.greatest(F.max(value) - start(value), start(value) - F.min(value))
     slips = (
@@ -67,58 +81,110 @@ def fuse_events(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not name.endswith("payment_date"):
             differs = F.coalesce(F.col(f"{name}__spread"), F.lit(0)) > (0 if name.endswith("count") else CENT)
             conflict = differs if conflict is None else conflict | differs
+    counts = F.col("register_employee_count"), F.col("bank_employee_count")
+    conflict = conflict | F.coalesce(counts[0] != counts[1], F.lit(False))
     gross, cost, social = complete_totals(F.col("register_gross_pay_total"), F.col("register_employer_cost_total"), F.col("register_employer_social_security_total"))
     reason = (
         F.when(F.col("currencies") > 1, "conflicting_currency").when(~F.col("has_register"), "missing_register").when(~F.col("has_bank"), "missing_bank").when(conflict, "conflicting_value").when(F.col("slip_conflict"), "conflicting_payslip")
         .when(gross.isNull() | cost.isNull(), "incomplete_totals").when(F.abs(cost - gross - social) > CENT, "inconsistent_totals").when(F.least(gross, cost, social) < 0, "negative_total")
     )
     rows = first.withColumn("reason", reason)
-    identity = F.substring(F.sha2(F.concat_ws("|", *group), 256), 1, 12)
+    identity = F.substring(F.sha2(F.concat("company", F.lit("\0"), "event_ref").cast("binary"), 256), 1, 12)
     events = rows.where("reason is null").select(
-        F.concat_ws("-", F.lit("evt"), slug(F.col("company")), slug(F.coalesce(F.nullif("event_ref", F.lit("")), F.lit("main"))), identity, "period").alias("event_id"),
-        F.col("label").alias("company"), "period", "currency", F.nullif("event_ref", F.lit("")).alias("event_ref"),
-        F.coalesce("register_employee_count", F.size("slips")).alias("employee_count"), F.col("bank_net_pay_total").alias("bank_net_total"), F.col("bank_payment_date").alias("payment_date"),
+        F.concat_ws("-", F.lit("evt"), slug(F.col("company")), slug(F.col("event_ref")), identity, "period").alias("event_id"),
+        F.col("label").alias("company"), "period", "currency", "event_ref",
+        F.coalesce(*counts, F.size("slips")).alias("employee_count"), F.coalesce(*counts).isNotNull().alias("declared_count"), F.col("bank_net_pay_total").alias("bank_net_total"), F.col("bank_payment_date").alias("payment_date"),
         gross.alias("gross_total"), social.alias("employer_social_security_total"), cost.alias("employer_cost_total"), F.col("slips").alias("employees"), "linked_docs",
     )
     return with_gaps(events), rows.where("reason is not null").select(*group, "reason")
 
 
 def with_gaps(events: DataFrame) -> DataFrame:
-    """What the bank statement does not show: employer cost beyond net pay."""
-    net, cost = F.col("bank_net_total"), F.col("employer_cost_total")
-    share = lambda part, whole: F.when(whole == 0, F.lit(0.0)).otherwise(round_up(part / whole * 100, 1))
-    return events.withColumns({"off_bank_cost": round_up(cost - net, 2), "off_bank_cost_pct": share(cost - net, cost), "cost_gap_amount": round_up(cost - net, 2), "cost_gap_pct": share(cost - net, net)})
+    """What the bank statement does not show: the employer's social security (gap) and all cost beyond net pay (off bank).
+
+    Both shares are of the bank's total, and 0 where that is not positive.
+    """
+    net, social = F.col("bank_net_total"), F.col("employer_social_security_total")
+    off = F.col("employer_cost_total") - net
+    share = lambda part: F.when(net > 0, round_up(part / net * 100, 1)).otherwise(F.lit(0.0))
+    return events.withColumns({"cost_gap_amount": round_up(social, 1), "cost_gap_pct": share(social), "off_bank_cost": round_up(off, 2), "off_bank_cost_pct": share(off)})
 
 
 @dataclass(frozen=True)
 class ValidationPolicy:
-    net_tolerance_pct: float = 2.0
+    """Band of cost over net and days of grace; what is out of bounds or no number is brought back into them."""
+
     least_ratio: float = 1.25
     most_ratio: float = 1.45
     grace_days: int = 7
-    register_tolerance_pct: float = 0.1
+
+    def __post_init__(self) -> None:
+        def bounded(value: float, low: float, high: float, default: float) -> float:
+            return min(high, max(low, value)) if isinstance(value, (int, float)) and math.isfinite(value) else default
+
+        least = bounded(self.least_ratio, 0.01, 100, 1.25)
+        object.__setattr__(self, "least_ratio", least)
+        object.__setattr__(self, "most_ratio", bounded(self.most_ratio, least, 100, max(least, 1.45)))
+        object.__setattr__(self, "grace_days", int(bounded(self.grace_days, 0, 90, 7)))
+
+
+def _plain(value: Column) -> Column:
+    """A number with thousands commas and at most two decimals."""
+    return F.regexp_replace(F.format_number(round_up(value, 2), 2), r"\.?0+$", "")
 
 
 def validation_rules(events: DataFrame, policy: ValidationPolicy = ValidationPolicy()) -> DataFrame:
-    """R1-R6 for each event in long form: event_id, rule, status (passed, failed, not_evaluated), severity."""
-    slips = F.col("employees")
-    total = lambda name: F.aggregate(slips, F.lit(0.0), lambda a, s: a + F.coalesce(s[name], F.lit(0.0)))
-    there = F.size(slips) > 0
-    tri = lambda evidence, good: F.when(~F.coalesce(evidence, F.lit(False)), "not_evaluated").when(good, "passed").otherwise("failed")
-    net, cost, gross = F.col("bank_net_total"), F.col("employer_cost_total"), F.col("gross_total")
-    paid = F.try_to_date(F.col("payment_date").cast("string"))
-    due = F.date_add(F.last_day(F.try_to_date(F.concat("period", F.lit("-01")))), policy.grace_days)
-    close = lambda a, b: (F.abs(a - b) <= CENT) | (F.abs(a - b) <= F.abs(a) * policy.register_tolerance_pct / 100)
-    rules = [
-        ("R1", tri(there & net.isNotNull(), F.abs(net - total("net")) <= F.abs(net) * policy.net_tolerance_pct / 100), "critical"),
-        ("R2", tri(net.isNotNull() & (net != 0), (cost / net).between(policy.least_ratio, policy.most_ratio)), "warning"),
-        ("R3", F.when(~valid_period(F.col("period")), "failed").otherwise(tri(paid.isNotNull(), paid <= due)), "warning"),
-        ("R4", tri(there & F.col("employee_count").isNotNull(), F.col("employee_count") == F.size(slips)), "critical"),
-        ("R5", tri(there & gross.isNotNull(), close(gross, total("gross"))), "critical"),
-        ("R6", tri(there & cost.isNotNull(), close(cost, total("employer_cost"))), "critical"),
-    ]
-    long = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), status.alias("status"), F.lit(s).alias("severity")) for r, status, s in rules])).alias("r")
-    return events.select("event_id", long).select("event_id", "r.*")
+    """R1-R6 for each event in long form: event_id, rule, status (passed, failed, not_evaluated), severity, message.
+
+    R1 bank net against the payslips' net, within 2 % of the latter; R2 employer cost over net within the policy's band;
+    R3 paid within days of grace after the period; R4 the declared count is that of the payslips; R5 and R6 the
+    register's gross and cost against the payslips', within a cent or 0.1 % of the larger. A rule without its evidence
+    is not evaluated; R1, R5 and R6 need a payslip for each declared employee. What is not evaluated or passed is
+    ``info``; failed comparisons of money are ``error``, other failures ``warning``.
+
+    An event shows its evidence: a bank statement by a net and a register by a cost that is not null, a
+    declared count by ``declared_count``, where that column is missing by a positive count.
+    """
+    slips = F.coalesce(F.size("employees"), F.lit(0))
+    slips = F.when(slips < 0, 0).otherwise(slips)
+    total = lambda name: F.aggregate("employees", F.lit(0.0), lambda a, s: a + F.coalesce(s[name], F.lit(0.0)))
+    net, cost, gross, count = F.col("bank_net_total"), F.col("employer_cost_total"), F.col("gross_total"), F.col("employee_count")
+    bank, register = net.isNotNull(), cost.isNotNull()
+    declared = F.coalesce(F.col("declared_count") if "declared_count" in events.columns else count > 0, F.lit(False))
+    complete = declared & (slips > 0) & F.coalesce(count == slips, F.lit(False))
+    percent = lambda x, digits: F.concat(F.format_string(f"%.{digits}f", x * 100), F.lit("%"))
+    says = lambda *parts: F.concat(*[F.coalesce(p, F.lit("")) if isinstance(p, Column) else F.lit(p) for p in parts])
+    result = lambda status, severity, message: F.struct(F.lit(status).alias("status"), F.lit(severity).alias("severity"), message.alias("message"))
+    judged = lambda good, severity, message: F.when(good, result("passed", "info", message)).otherwise(result("failed", severity, message))
+    skip = lambda why: result("not_evaluated", "info", F.lit(f"Not evaluated: {why}."))
+    fail = lambda message: result("failed", "warning", message if isinstance(message, Column) else F.lit(message))
+
+    own = total("net")
+    apart = F.abs(net - own) / F.nullif(own, F.lit(0.0))
+    ratio = cost / F.when(net > 0, net)
+    paid_text = F.col("payment_date").cast("string")
+    paid, last = F.when(valid_date(paid_text), F.try_to_date(paid_text, "yyyy-MM-dd")), F.last_day(F.try_to_date(F.concat("period", F.lit("-01")), "yyyy-MM-dd"))
+    due = F.date_add(last, policy.grace_days)
+
+    def against_register(name: str, said: Column, field: str) -> Column:
+        slip_total = total(field)
+        gap = F.abs(said - slip_total)
+        share = gap / F.greatest(F.abs(said), F.abs(slip_total), F.lit(1.0))
+        message = says(f"Register {name} ", _plain(said), ", payslips ", _plain(slip_total), " (", percent(share, 2), " apart, at most 0.1% allowed)")
+        return F.when(~(register & complete) | said.isNull(), skip("no register or no complete set of payslips")).otherwise(judged((gap <= CENT) | (share <= 0.001), "error", message))
+
+    rules = {
+        "R1": F.when(~(bank & complete), skip("no bank statement or no complete set of payslips")).when(own == 0, fail("The payslips' net adds up to zero."))
+        .otherwise(judged(apart <= 0.02, "error", says("Bank ", _plain(net), ", payslips ", _plain(own), " (", percent(apart, 1), " apart, at most 2% allowed)"))),
+        "R2": F.when(~(register & bank), skip("no register or no bank statement")).when((cost <= 0) | (net <= 0), fail("Cost and net must both be positive."))
+        .otherwise(judged(ratio.between(policy.least_ratio, policy.most_ratio), "warning", says("Employer cost ", _plain(cost), " over net ", _plain(net), " is ", F.format_string("%.3f", ratio)))),
+        "R3": F.when(~valid_period(F.col("period")), fail(says("Not a period: ", F.col("period")))).when(~bank | (F.coalesce(paid_text, F.lit("")) == ""), skip("no payment date"))
+        .when(paid.isNull(), fail(says("Not a date: ", paid_text))).otherwise(judged(paid <= due, "warning", says("Paid on ", paid_text, ", allowed through ", due.cast("string")))),
+        "R4": F.when(~declared | (slips == 0), skip("no declared count or no payslips")).otherwise(judged(count == slips, "warning", says("Declared ", count.cast("string"), " employees, ", slips.cast("string"), " payslips"))),
+        "R5": against_register("gross", gross, "gross"), "R6": against_register("employer cost", cost, "employer_cost"),
+    }
+    long = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), found.alias("r")) for rule, found in rules.items()])).alias("x")
+    return events.select("event_id", long).select("event_id", "x.rule", "x.r.*")
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], time: str = "created_at", tie: str = "id") -> DataFrame:
@@ -127,15 +193,22 @@ def latest_per_key(rows: DataFrame, keys: list[str], time: str = "created_at", t
     return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
-def purchase_cash(total: Column, status: Column, paid: Column) -> tuple[Column, Column]:
-    """(cash status, amount): refund for negative totals; else by what was paid, then by the status word."""
-    word = F.lower(F.coalesce(status, F.lit("")))
+def purchase_cash(total: Column, status: Column, paid: Column, flag: Column | None = None) -> tuple[Column, Column]:
+    """(cash status, amount) of a purchase by its evidence, the strongest first.
+
+    A finite amount paid decides: below zero a refund of it, zero unpaid, short of the total partial, else paid. Then
+    the flag ``paid`` if it is false, then the flag if it is true or a word that says paid, which is the whole total,
+    then ``unpaid``. Anything else is unknown, with no amount: an invoice does not show that no cash moved.
+    """
+    word = F.lower(F.trim(F.coalesce(status, F.lit(""))))
+    flag = F.lit(None).cast("boolean") if flag is None else flag
+    amount = F.when(~F.isnan(paid) & (F.abs(paid) != float("inf")), paid)
     state = (
-        F.when(total < 0, "refund").when(paid.isNotNull() & (paid <= 0), "unpaid").when(paid.isNotNull() & (paid < total - CENT), "partial").when(paid.isNotNull(), "paid")
-        .when(word == "paid", "paid").when(word.isin("unpaid", "open", "pending"), "unpaid").otherwise("unknown")
+        F.when(amount < 0, "refund").when(amount == 0, "unpaid").when(amount + CENT < total, "partial").when(amount.isNotNull(), "paid")
+        .when(~flag, "unpaid").when(F.coalesce(flag, F.lit(False)) | word.isin("paid", "settled", "cleared"), "paid").when(word == "unpaid", "unpaid").otherwise("unknown")
     )
-    amount = F.when(state == "unknown", F.lit(None).cast("double")).when(state == "unpaid", F.lit(0.0)).otherwise(F.coalesce(paid, total))
-    return state, amount
+    cash = F.when(amount.isNotNull(), amount).when(state == "paid", total).when(state == "unpaid", F.lit(0.0))
+    return state, cash
 
 
 def pnl(facts: DataFrame, by: list[list[str]]) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.scalars import cosine, marked_figures, money_text, request_hash
 from ..operators import finance, ingest, pnl
 from ..sources.tables import vectors_from_text, vectors_to_text
 from .facts import PAYROLL_SQL, payroll_documents, table
-from .queries import query
+from .queries import RULES_SQL, query
 
 _KIND = "CASE o_orderkey % 3 WHEN 0 THEN 'payroll_event' ELSE 'invoice' END"
 #: A fact for each order: payroll, a purchase or a sale by its key, in the currency of the customer's nation.
@@ -86,7 +86,7 @@ def pnl_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SLIPS_SQL = f"""
 {PAYROLL_SQL},
 slip AS (SELECT o_orderkey AS k, l_extendedprice AS price, 'e' || row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS e FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey),
-event AS (SELECT *, 'evt-' || lower(company) || '-ord-' || k || '-' || substr(sha256(lower(company) || '|' || period || '|ord-' || k), 1, 12) || '-' || period AS event_id, CASE WHEN k % 7 = 0 THEN n + 1 ELSE n END AS people, gross * 1.1 AS cost, gross * (CASE WHEN k % 3 = 0 THEN 0.75 ELSE 0.8 END) AS bank FROM run WHERE k % 10 <> 0)"""
+event AS (SELECT *, 'evt-' || lower(company) || '-ord-' || k || '-' || substr(sha256(lower(company) || chr(0) || 'ord-' || k), 1, 12) || '-' || period AS event_id, CASE WHEN k % 7 = 0 THEN n + 1 ELSE n END AS people, gross * 1.1 AS cost, gross * (CASE WHEN k % 3 = 0 THEN 0.75 ELSE 0.8 END) AS bank FROM run WHERE k % 10 <> 0)"""
 _UP = "floor(({0}) * 100 + 0.5) / 100"
 
 
@@ -124,9 +124,9 @@ def event_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_SLIPS_SQL},
-r AS (SELECT event_id, company, period, unnest([{{'rule': 'R1', 'good': k % 3 <> 0}}, {{'rule': 'R2', 'good': k % 3 <> 0}}, {{'rule': 'R3', 'good': paid <= due}}, {{'rule': 'R4', 'good': k % 7 <> 0}}, {{'rule': 'R5', 'good': true}}, {{'rule': 'R6', 'good': true}}]) AS x FROM event)
-SELECT 'event:' || event_id || ':validation:' || x.rule AS idempotency_key, 'Validation ' || CASE WHEN x.good THEN 'PASSED' ELSE 'FAILED' END || ' for ' || company || ' ' || period || ' — ' || x.rule AS content FROM r""")
+WITH {RULES_SQL},
+named AS (SELECT *, 'evt-' || lower(company) || '-ord-' || k || '-' || substr(sha256(lower(company) || chr(0) || 'ord-' || k), 1, 12) || '-' || period AS event_id FROM ruled)
+SELECT 'event:' || event_id || ':validation:' || rule AS idempotency_key, 'Validation ' || upper(status) || ' for ' || company || ' ' || period || ' — ' || rule AS content FROM named""")
 def validation_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
     rules = finance.validation_rules(events).join(events.select("event_id", "company", "period"), "event_id")

@@ -294,7 +294,7 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {PAYROLL_SQL}
 SELECT company, period, 'ord-' || k AS event_ref, CASE WHEN k % 7 = 0 THEN n + 1 ELSE n END AS employee_count, gross AS gross_total, gross * 1.1 AS employer_cost_total,
-  'evt-' || lower(company) || '-ord-' || k || '-' || substr(sha256(lower(company) || '|' || period || '|ord-' || k), 1, 12) || '-' || period AS event_id, n + 2 AS n_documents FROM run WHERE k % 10 <> 0""")
+  'evt-' || lower(company) || '-ord-' || k || '-' || substr(sha256(lower(company) || chr(0) || 'ord-' || k), 1, 12) || '-' || period AS event_id, n + 2 AS n_documents FROM run WHERE k % 10 <> 0""")
 def fuse_payroll_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, _ = finance.fuse_events(payroll_documents(spark, sf_dir))
     return events.select("company", "period", "event_ref", "employee_count", "gross_total", "employer_cost_total", "event_id", F.size("linked_docs").alias("n_documents"))
@@ -306,13 +306,24 @@ def rejected_payroll_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected.groupBy("company", "period", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""
-WITH {PAYROLL_SQL},
-r AS (SELECT k, unnest([{{'rule': 'R1', 'good': k % 3 <> 0}}, {{'rule': 'R2', 'good': k % 3 <> 0}}, {{'rule': 'R3', 'good': paid <= due}}, {{'rule': 'R4', 'good': k % 7 <> 0}}, {{'rule': 'R5', 'good': true}}, {{'rule': 'R6', 'good': true}}]) AS x FROM run WHERE k % 10 <> 0)
-SELECT 'ord-' || k AS event_ref, x.rule AS rule, CASE WHEN x.good THEN 'passed' ELSE 'failed' END AS status FROM r""")
+#: The rules from the columns of the documents: declared is the register's count, slips are the payslips.
+RULES_SQL = f"""{PAYROLL_SQL},
+sums AS (SELECT l_orderkey AS k, sum(l_extendedprice * 0.8) AS s_net, sum(l_extendedprice) AS s_gross, sum(l_extendedprice * 1.1) AS s_cost, count(*) AS slips FROM lineitem GROUP BY 1),
+doc AS (SELECT *, CASE WHEN k % 7 = 0 THEN n + 1 ELSE n END AS declared, gross * 1.1 AS cost, gross * CASE WHEN k % 3 = 0 THEN 0.75 ELSE 0.8 END AS bank FROM run JOIN sums USING (k) WHERE k % 10 <> 0),
+good AS (SELECT k, company, period, unnest([
+  {{'rule': 'R1', 'seen': declared = slips, 'good': abs(bank - s_net) / s_net <= 0.02, 'bad': 'error'}},
+  {{'rule': 'R2', 'seen': true, 'good': cost > 0 AND bank > 0 AND cost / bank BETWEEN 1.25 AND 1.45, 'bad': 'warning'}},
+  {{'rule': 'R3', 'seen': paid IS NOT NULL, 'good': paid <= due, 'bad': 'warning'}},
+  {{'rule': 'R4', 'seen': slips > 0, 'good': declared = slips, 'bad': 'warning'}},
+  {{'rule': 'R5', 'seen': declared = slips, 'good': abs(gross - s_gross) <= 0.01 OR abs(gross - s_gross) / greatest(gross, s_gross, 1) <= 0.001, 'bad': 'error'}},
+  {{'rule': 'R6', 'seen': declared = slips, 'good': abs(cost - s_cost) <= 0.01 OR abs(cost - s_cost) / greatest(cost, s_cost, 1) <= 0.001, 'bad': 'error'}}]) AS x FROM doc),
+ruled AS (SELECT k, company, period, x.rule AS rule, CASE WHEN NOT x.seen THEN 'not_evaluated' WHEN x.good THEN 'passed' ELSE 'failed' END AS status, CASE WHEN x.seen AND NOT x.good THEN x.bad ELSE 'info' END AS severity FROM good)"""
+
+
+@query(f"WITH {RULES_SQL} SELECT 'ord-' || k AS event_ref, rule, status, severity FROM ruled")
 def validation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, _ = finance.fuse_events(payroll_documents(spark, sf_dir))
-    return finance.validation_rules(events.withColumn("event_id", F.col("event_ref"))).select(F.col("event_id").alias("event_ref"), "rule", "status")
+    return finance.validation_rules(events.withColumn("event_id", F.col("event_ref"))).select(F.col("event_id").alias("event_ref"), "rule", "status", "severity")
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import tokens
-from ..operators import admission, retrieval
+from ..operators import admission, finance, retrieval
 from .facts import table
 from .queries import _TOKENS, query
 
@@ -36,3 +36,19 @@ def lexical_conjunctive_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     asked = docs.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 5, 5), " ").alias("text"))
     return retrieval.lexical_conjunctive(docs, asked).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_documents"), F.min("id").alias("first_id"))
+
+
+@query("""
+WITH p AS (SELECT o_orderkey AS id, o_totalprice AS total, CASE o_orderkey % 8 WHEN 0 THEN -o_totalprice WHEN 1 THEN 0.0 WHEN 2 THEN o_totalprice / 4 WHEN 3 THEN o_totalprice END AS paid_amount,
+  CASE o_orderkey % 16 WHEN 4 THEN true WHEN 12 THEN false END AS paid, CASE o_orderkey % 24 WHEN 5 THEN ' Settled ' WHEN 13 THEN 'cleared' WHEN 21 THEN 'open' WHEN 6 THEN 'unpaid' WHEN 14 THEN 'partial' WHEN 22 THEN 'pending' END AS status FROM orders)
+SELECT id, CASE WHEN paid_amount < 0 THEN 'refund' WHEN paid_amount = 0 THEN 'unpaid' WHEN paid_amount + 0.01 < total THEN 'partial' WHEN paid_amount IS NOT NULL THEN 'paid' WHEN NOT paid THEN 'unpaid'
+    WHEN paid OR lower(trim(status)) IN ('paid', 'settled', 'cleared') THEN 'paid' WHEN lower(trim(status)) = 'unpaid' THEN 'unpaid' ELSE 'unknown' END AS cash_status,
+  CASE WHEN paid_amount IS NOT NULL THEN paid_amount WHEN NOT paid THEN 0 WHEN paid OR lower(trim(status)) IN ('paid', 'settled', 'cleared') THEN total WHEN lower(trim(status)) = 'unpaid' THEN 0 END AS cash FROM p""")
+def purchase_cash_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as purchases with each kind of evidence of what was paid."""
+    key, total = F.col("o_orderkey"), F.col("o_totalprice")
+    case = lambda by, values: F.coalesce(*[F.when(key % by == at, value) for at, value in values.items()])
+    paid = case(8, {0: -total, 1: F.lit(0.0), 2: total / 4, 3: total})
+    words = case(24, {5: F.lit(" Settled "), 13: F.lit("cleared"), 21: F.lit("open"), 6: F.lit("unpaid"), 14: F.lit("partial"), 22: F.lit("pending")})
+    state, cash = finance.purchase_cash(total, words, paid, case(16, {4: F.lit(True), 12: F.lit(False)}))
+    return table(spark, sf_dir, "orders").select(key.alias("id"), state.alias("cash_status"), cash.alias("cash"))
