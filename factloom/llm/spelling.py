@@ -109,7 +109,7 @@ def _long_links(words: DataFrame) -> DataFrame:
     Each word sends the hash of itself and of itself without each letter: as many rows as it has letters. Rows
     that meet are compared letter by letter.
     """
-    cut = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at")).where(F.col("word").substr(F.col("at") - 1, F.lit(1)) != F.col("word").substr(F.col("at"), F.lit(1)))
+    cut = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at")).where((F.col("at") == 1) | (F.col("word").substr(F.col("at") - 1, F.lit(1)) != F.col("word").substr(F.col("at"), F.lit(1))))
     less = F.concat(F.col("word").substr(F.lit(1), F.col("at") - 1), F.col("word").substr(F.col("at") + 1, F.length("word")))
     keys = cut.select("word", F.xxhash64(less).alias("key"), F.col("at").alias("cut"))
     swapped = keys.select(F.col("word").alias("a"), "key").join(keys.select(F.col("word").alias("b"), "key"), "key").where("a < b and length(a) = length(b)").where(F.levenshtein("a", "b", 1) == 1)
