@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Pre-tokens a worker remembers in each of two generations; older ones are encoded again.
 REMEMBERED = 250_000
 #: Pre-tokens of up to so many bytes share one queue; longer ones have their own.
@@ -316,6 +318,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, ids array<int>, decoded string")
 
 
@@ -337,4 +340,5 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             )
 
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")

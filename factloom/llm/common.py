@@ -36,6 +36,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch that carries whole texts.
+TEXT_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``TEXT_ROWS`` rows: at Spark's 10,000 a batch of whole texts takes tens of
+    megabytes, several times over, in the executor and in its Python worker. A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 class Scratch:
     """Tables that an operator writes to the shared folder between its steps.
 

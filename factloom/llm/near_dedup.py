@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, setsketch
-from .common import FURTHER, Scratch, maybe_in, partitions, without
+from .common import FURTHER, Scratch, maybe_in, partitions, small_batches, without
 from .components import connected_components
 
 #: An estimate this far below the threshold (over six standard errors) ends a pair without comparing sets.
@@ -261,6 +261,7 @@ def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """One row per document: doc_id, text_key (hash of the text), n_shingles, component_id, kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = texts.withColumn("text_key", _text_key())
     rows = scratch.store("rows", keyed.mapInArrow(_sketch_batches(k), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>"))
