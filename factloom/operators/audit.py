@@ -130,6 +130,23 @@ def contradictions(memories: DataFrame, tolerance: float = TOLERANCE, authority:
     return folded.select(*key, "n_buckets", "n_carriers", winner["id"].alias("winner_id"), winner["bucket"].alias("winner_bucket"), F.when(important, "importance").when(authoritative, "source-authority").otherwise("recency").alias("rule"), F.round(confidence, 6).alias("confidence"))
 
 
+def hit_contradictions(hits: DataFrame, memories: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """Contradictions among each question's own hits (query_id, id): query_id and the columns of ``contradictions``.
+
+    All questions are audited in one job, as the question is part of the scope. A hit shows no importance but one in
+    its metadata, so the ladder's first rule rests on that.
+    """
+    kind = dict(hits.dtypes)["query_id"]
+    mark = "\x01"
+    # The scope is lower-cased, so the question goes in as hexadecimal digits.
+    scoped = F.concat(F.hex(F.col("query_id").cast("string")), F.lit(mark), audit_key(F.col("company")))
+    said = F.try_variant_get(F.try_parse_json("metadata"), "$.importance", "double")
+    held = hits.select("query_id", "id").distinct().join(memories, "id").withColumns({"company": scoped, "importance": said})
+    found = contradictions(held.drop("query_id"), tolerance)
+    whose = F.decode(F.unhex(F.substring_index("company_key", mark, 1)), "UTF-8").cast(kind)
+    return found.select(whose.alias("query_id"), F.substring_index("company_key", mark, -1).alias("company_key"), *[c for c in found.columns if c != "company_key"])
+
+
 def dangling_references(memories: DataFrame) -> DataFrame:
     """References in metadata.refs whose (company, period, reference) no memory has as its subject.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import valid_date
+from ..functions.checkpoints import materialize
+from ..functions.scalars import localized_amount, valid_date
 from .finance import CENT
-from .ingest import iso_currencies, nfkc
+from .ingest import iso_currencies, nfkc_labels
 
 # Fixed values that must match: allowed keys, document types, default event, bounds.
 ROOT = ["doc_type", "company", "period", "currency", "event_ref", "payroll_run_id", "gross_pay_total", "employer_cost_total",
@@ -52,10 +53,13 @@ def normalize_extracted(docs: DataFrame, codes: list[str] | None = None) -> tupl
     said |= {f"_d_{c}": F.when(col(c) != "", col(c)) for c in ("company", "period", "currency", "event_ref")}
     rows = rows.withColumns(said)
     labels = ["_company", "_d_company", "_event_ref", "_payroll_run_id", "_d_event_ref", "_currency", "_d_currency"]
-    for name in labels + ["_e_employee_id", "_e_employee_code"]:
-        rows = nfkc(rows, name).withColumn(name, _clean(name))
+    labels += ["_e_employee_id", "_e_employee_code"]
+    # The JSON is parsed once and labels are looked up in one dictionary; the rules then read plain stored columns.
+    rows = nfkc_labels(materialize(rows), labels)
+    rows = rows.withColumns({name: _clean(name) for name in labels})
     rows = rows.withColumns({c: F.upper(c) for c in ("_currency", "_d_currency")})
-    rows = rows.withColumns({f"_n{c}": col(c).try_cast("double") for c in [f"_{c}" for c in TOTALS] + [f"_e_{c}" for c in AMOUNTS]})
+    amount = lambda c: F.coalesce(col(c).try_cast("double"), localized_amount(col(c)))
+    rows = materialize(rows.withColumns({f"_n{c}": amount(c) for c in [f"_{c}" for c in TOTALS] + [f"_e_{c}" for c in AMOUNTS]}))
 
     number = lambda name: col(f"_n_{name}")
     person = lambda name: col(f"_n_e_{name}")
@@ -104,7 +108,7 @@ def normalize_extracted(docs: DataFrame, codes: list[str] | None = None) -> tupl
         (number("employee_count") != F.floor(number("employee_count")), "employee_count"), (col("_payment_date").isNotNull() & ~valid_date(col("_payment_date")), "payment_date"),
     ]
     error = F.coalesce(*[F.when(broken, name) for broken, name in rules])
-    judged = rows.withColumn("error", error)
+    judged = materialize(rows.withColumn("error", error))
     zero = lambda name: F.coalesce(person(name), F.lit(0.0)).alias(name)
     slip = F.struct(who.alias("employee_id"), F.coalesce("_e_name", who).alias("name"), person("gross").alias("gross"), zero("employee_social_security"),
                     zero("tax"), person("net").alias("net"), his_social.alias("employer_social_security"), his_cost.alias("employer_cost"))

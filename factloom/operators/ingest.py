@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import materialize
 from ..functions.scalars import clamp, money_text, round_up, scrub, valid_date
 from .finance import CENT, SLIP_FIELDS
 
@@ -35,6 +36,19 @@ def nfkc(rows: DataFrame, column: str) -> DataFrame:
     return rows.join(found, F.col(column) == F.col("__from"), "left").withColumn(column, F.coalesce("__to", column)).select(rows.columns)
 
 
+def nfkc_labels(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Several string columns in NFKC, by one dictionary of their distinct values beyond ASCII.
+
+    The rows are read once for the dictionary, whatever the number of columns, and each value is normalised once.
+    """
+    odd = rows.select(F.explode(F.array(*columns)).alias("label")).where(F.col("label").rlike(r"[^\x00-\x7F]")).distinct()
+    found = materialize(nfkc(odd.select("label", F.col("label").alias("plain")), "plain"))
+    out = rows
+    for name in columns:
+        out = out.join(found.toDF("__label", "__plain"), F.col(name) == F.col("__label"), "left").withColumn(name, F.coalesce("__plain", name)).drop("__label", "__plain")
+    return out.select(rows.columns)
+
+
 def normalize_currency(rows: DataFrame, column: str = "currency", codes: list[str] | None = None) -> DataFrame:
     """The column as an ISO 4217 code: NFKC, trimmed, in capitals; null for anything else."""
     clean = F.upper(F.trim(F.col(column)))

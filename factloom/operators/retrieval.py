@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.blocks import groups
 from ..functions.scalars import cosine, snippet, tokens
 from . import scan_topk
+from .audit import hit_contradictions
 
 K1, B, RRF = 1.5, 0.75, 60
 BLOCK = 2048
@@ -165,11 +166,12 @@ def rerank_lexical(hits: DataFrame, docs: DataFrame, queries: DataFrame) -> Data
     return every.withColumn("new_rank", F.row_number().over(order))
 
 
-def recall_batch(docs: DataFrame, queries: DataFrame, k: int, scores: DataFrame | None = None) -> DataFrame:
+def recall_batch(docs: DataFrame, queries: DataFrame, k: int, scores: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
     """Each question's answer by citation: query_id, ids (in order), answer (``[n] text`` of the k hits).
 
     Candidates are min(20, max(k, 4 k)) hybrid hits, in the order of ``scores`` if given, else of a BM25 over
-    the candidates.
+    the candidates. With ``facts`` (id, kind, company, period, source_ref, metadata, created_at) there is also
+    ``findings``: what contradicts itself among the question's hits, as sorted structs, empty if nothing does.
     """
     pool = min(20, max(k, 4 * k))
     hits = hybrid(docs, queries, pool, 20)
@@ -177,7 +179,13 @@ def recall_batch(docs: DataFrame, queries: DataFrame, k: int, scores: DataFrame
     chosen = ranked.where(F.col("new_rank") <= k).join(docs.select("id", F.col("text").alias("said")), "id")
     cited = F.struct("new_rank", "id", F.concat(F.lit("["), "new_rank", F.lit("] "), snippet(F.coalesce("said", F.lit("")))).alias("text"))
     listed = chosen.groupBy("query_id").agg(F.array_sort(F.collect_list(cited)).alias("cited"))  # k rows a question
-    return listed.select("query_id", F.transform("cited", lambda c: c["id"]).alias("ids"), F.array_join(F.transform("cited", lambda c: c["text"]), "\n").alias("answer"))
+    answers = listed.select("query_id", F.transform("cited", lambda c: c["id"]).alias("ids"), F.array_join(F.transform("cited", lambda c: c["text"]), "\n").alias("answer"))
+    if facts is None:
+        return answers
+    found = hit_contradictions(answers.select("query_id", F.explode("ids").alias("id")), facts)
+    told = F.struct(*[c for c in found.columns if c != "query_id"])
+    named = found.groupBy("query_id").agg(F.array_sort(F.collect_list(told)).alias("findings"))  # of k hits at most
+    return answers.join(named, "query_id", "left").withColumn("findings", F.coalesce("findings", F.array().cast(named.schema["findings"].dataType)))
 
 
 def rank_gain(one: DataFrame, other: DataFrame, measures: tuple[str, ...] = ("reciprocal_rank", "ndcg")) -> DataFrame:

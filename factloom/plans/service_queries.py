@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import tokens
-from ..operators import admission, finance, retrieval
-from .facts import table
+from ..operators import admission, audit, finance, retrieval
+from .facts import MEMORIES_SQL, memories, table
 from .queries import _TOKENS, query
 
 
@@ -52,3 +52,17 @@ def purchase_cash_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = case(24, {5: F.lit(" Settled "), 13: F.lit("cleared"), 21: F.lit("open"), 6: F.lit("unpaid"), 14: F.lit("partial"), 22: F.lit("pending")})
     state, cash = finance.purchase_cash(total, words, paid, case(16, {4: F.lit(True), 12: F.lit(False)}))
     return table(spark, sf_dir, "orders").select(key.alias("id"), state.alias("cash_status"), cash.alias("cash"))
+
+
+@query(f"""
+WITH {MEMORIES_SQL},
+pair AS (SELECT a.k, a.company_key, a.period, a.subject, a.total AS ta, b.total AS tb, a.status AS sa, b.status AS sb, a.kind = 'insight' AS weak, a.created_at AS ca, b.created_at AS cb, a.id AS aid, b.id AS bid FROM mem a JOIN mem b ON a.k = b.k AND a.id < b.id WHERE a.k % 100 = 0),
+odd AS (SELECT *, 'total' AS attr FROM pair WHERE abs(ta - tb) > 0.5 UNION ALL SELECT *, 'status' FROM pair WHERE sa <> sb)
+SELECT k AS query_id, company_key, period, subject, attr, CASE WHEN weak OR cb > ca THEN bid ELSE aid END AS winner_id, CASE WHEN weak THEN 'source-authority' ELSE 'recency' END AS rule,
+  round(CASE WHEN weak THEN 0.75 WHEN ca <> cb THEN 0.5 + least(0.35, abs(epoch_us(cb) - epoch_us(ca)) / 86.4e9 / 30 * 0.35) ELSE 0.4 END, 6) AS confidence FROM odd""")
+def recall_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth order is asked for by its number; what contradicts itself among the facts that name it."""
+    rows, key = memories(spark, sf_dir), F.substring_index("id", "-", -1)
+    asked = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("order "), "o_orderkey").alias("text"))
+    hits = retrieval.lexical_conjunctive(rows.select("id", F.concat(F.lit("What is known of order "), key).alias("text")), asked)
+    return audit.hit_contradictions(hits, rows).select("query_id", "company_key", "period", "subject", "attr", "winner_id", "rule", "confidence")

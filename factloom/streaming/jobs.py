@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -49,3 +49,30 @@ def retention(stream: DataFrame, root: str, now, **policy) -> DataStreamWriter:
         lifecycle.apply_forget(rows, lifecycle.plan_forget(rows, now, **policy)).write.mode("overwrite").parquet(f"{root}/{n}")
 
     return stream.writeStream.foreachBatch(step)
+
+
+def retention_by_parts(stream: DataFrame, root: str, now, **policy) -> DataStreamWriter:
+    """Append each batch as a part of its own, and what ``plan_forget`` names by ``policy`` as a list of ids.
+
+    Batch n writes ``facts/batch=n`` and ``forgotten/batch=n`` under ``root`` and rewrites nothing, so what a batch
+    writes does not grow with the table; a batch that runs again replaces its own parts. ``read_retained`` reads
+    the facts without the lists.
+    """
+
+    def step(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{root}/facts/batch={n}")
+        held = read_retained(spark, root, before=n)
+        lifecycle.plan_forget(held, now, **policy).write.mode("overwrite").parquet(f"{root}/forgotten/batch={n}")
+
+    return stream.writeStream.foreachBatch(step)
+
+
+def read_retained(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """The facts under ``root`` that no list names; of lists only those of batches ``before`` one, if given."""
+    facts = spark.read.parquet(f"{root}/facts")
+    if before == 0:
+        return facts.drop("batch")
+    lists = spark.read.parquet(f"{root}/forgotten")
+    lists = lists if before is None else lists.where(F.col("batch") < before)
+    return facts.join(lists.select("id"), "id", "left_anti").drop("batch")
