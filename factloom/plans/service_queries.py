@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import tokens
-from ..operators import admission, audit, finance, retrieval
+from ..operators import admission, audit, finance, lifecycle, retrieval
 from .facts import MEMORIES_SQL, memories, table
 from .queries import _TOKENS, query
 
@@ -66,3 +66,10 @@ def recall_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("order "), "o_orderkey").alias("text"))
     hits = retrieval.lexical_conjunctive(rows.select("id", F.concat(F.lit("What is known of order "), key).alias("text")), asked)
     return audit.hit_contradictions(hits, rows).select("query_id", "company_key", "period", "subject", "attr", "winner_id", "rule", "confidence")
+
+
+@query()
+def near_duplicate_pairs_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label at a cosine of 0.3, through hash tables; a test measures the recall."""
+    rows = table(spark, sf_dir, "embeddings").where("label is not null").select(F.col("vec_id").alias("id"), "label", "embedding")
+    return lifecycle.similar_pairs_approx(rows, ["label"], 0.3)
