@@ -43,9 +43,7 @@ def claim_reader(codes: list[str]) -> Callable[[str], list[tuple[str, str, int,
     before = re.compile(rf"(?P<code>{code})\s*(?P<n>{NUMBER})", flags)
     after = re.compile(rf"(?P<n>{NUMBER})\s*(?P<code>{code})", flags)
     scales = "|".join(SCALES)
-    units = [re.compile(rf"(?P<n>{NUMBER})\s*(?P<unit>{PERCENT})", flags)]
-    units += [re.compile(rf"(?P<n>{NUMBER})\s+(?P<unit>{COUNTED})\b", flags)]
-    units += [re.compile(rf"(?P<n>{NUMBER})\s*(?P<unit>{scales})\b", flags)]
+    units = [re.compile(rf"(?P<n>{NUMBER}){rest}", flags) for rest in (rf"\s*(?P<unit>{PERCENT})", rf"\s+(?P<unit>{COUNTED})\b", rf"\s*(?P<unit>{scales})\b")]
     date = re.compile(r"\b([0-9]{4}-[0-9]{2}(?:-[0-9]{2})?)\b")
 
     def amount(digits: str) -> float:

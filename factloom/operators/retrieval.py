@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import groups
+from ..functions.checkpoints import materialize
 from ..functions.scalars import cosine, snippet, tokens
 from . import scan_topk
 from .audit import hit_contradictions
@@ -126,9 +127,12 @@ def lexical_top_k(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def hybrid(docs: DataFrame, queries: DataFrame, k: int, pool: int = 20) -> DataFrame:
-    """RRF of a dense and a BM25 top ``pool``: docs (id, text, embedding) by queries (query_id, text, embedding)."""
-    dense = knn_dense(docs.select("id", "embedding"), queries.select("query_id", "embedding"), pool)
-    lexical = lexical_top_k(docs.select("id", "text"), queries.select("query_id", "text"), pool)
+    """RRF of a dense and a BM25 top ``pool``: docs (id, text, embedding) by queries (query_id, text, embedding).
+
+    The pools, ``pool`` rows a question each, are checkpointed, so what follows does not scan the corpus again.
+    """
+    dense = materialize(knn_dense(docs.select("id", "embedding"), queries.select("query_id", "embedding"), pool))
+    lexical = materialize(lexical_top_k(docs.select("id", "text"), queries.select("query_id", "text"), pool))
     return top_k(rrf(dense, lexical).withColumn("score", F.round("score", 9)), k)
 
 

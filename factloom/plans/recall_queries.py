@@ -6,30 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import shuffled
-from ..operators import audit, grounding, lifecycle, reports, retrieval
+from ..operators import audit, grounding, lifecycle, meaning, reports, retrieval
 from .facts import MEMORIES_SQL, memories, table
 from .queries import _TOKENS, ORACLES, _knn_sql, _vectors, ir_metrics_all, query
 
-#: Documents that have a vector, and questions that have one; BM25 and cosines of all pairs.
+#: Components of the token vectors of documents and questions.
+DIM = 256
+#: All documents and questions with their token vectors; BM25 and cosines of all pairs.
 HYBRID_SQL = f"""
-c AS (SELECT doc_id AS id, text, {_TOKENS.format('text')} AS t, embedding::DOUBLE[] AS v FROM documents JOIN embeddings ON vec_id = doc_id),
-q AS (SELECT conv_id * 1000 + turn AS query_id, {_TOKENS.format('text')} AS t, embedding::DOUBLE[] AS v FROM conversations JOIN embeddings ON vec_id = conv_id WHERE conv_id % 100 = 0),
+docs AS (SELECT doc_id AS id, text, {_TOKENS.format('text')} AS t FROM documents),
+asks AS (SELECT conv_id * 1000 + turn AS query_id, {_TOKENS.format('text')} AS t FROM conversations WHERE conv_id % 100 = 0),
+said AS (SELECT 0 AS side, id, unnest(t) AS term FROM docs UNION ALL SELECT 1, query_id, unnest(t) FROM asks),
+hash AS (SELECT term, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(term, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS h FROM (SELECT DISTINCT term FROM said)),
+cells AS (SELECT side, id, map_from_entries(list((bucket, n))) AS m FROM (SELECT side, id, (least(h, 4294967296 - h) % {DIM})::INT AS bucket, count(*) AS n FROM said JOIN hash USING (term) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+vec AS (SELECT side, id, list_transform(range({DIM}), lambda i: coalesce(m[i::INT], 0)::DOUBLE) AS v FROM cells),
+c AS (SELECT docs.*, v FROM docs LEFT JOIN vec ON side = 0 AND vec.id = docs.id), q AS (SELECT asks.*, v FROM asks LEFT JOIN vec ON side = 1 AND vec.id = query_id),
 st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM c),
 p AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM c), tf AS (SELECT id, dl, term, count(*) AS tf FROM p GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(t) AS term FROM q) GROUP BY 1, 2),
 bm AS (SELECT query_id, id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS s FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2),
-pair AS (SELECT query_id, id, round(list_cosine_similarity(c.v, q.v), 9) AS cosine, round(coalesce(s, 0), 9) AS bm FROM c CROSS JOIN q LEFT JOIN bm USING (query_id, id)),
+pair AS (SELECT query_id, id, round(coalesce(list_cosine_similarity(c.v, q.v), 0), 9) AS cosine, round(coalesce(s, 0), 9) AS bm FROM c CROSS JOIN q LEFT JOIN bm USING (query_id, id)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS dr, row_number() OVER (PARTITION BY query_id ORDER BY bm DESC, id) AS lr FROM pair),
 rrf AS (SELECT query_id, id, cosine, round(CASE WHEN dr <= 20 THEN 1.0::DOUBLE / (60 + dr) ELSE 0 END + CASE WHEN lr <= 20 THEN 1.0::DOUBLE / (60 + lr) ELSE 0 END, 9) AS rrf_score FROM ranked WHERE dr <= 20 OR lr <= 20),
 hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) AS rank FROM rrf)"""
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").join(vectors, F.col("id") == F.col("vec_id")).drop("vec_id")
-    turns = table(spark, sf_dir, "conversations").where("conv_id % 100 = 0")
-    asked = turns.join(vectors, F.col("conv_id") == F.col("vec_id")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text", "embedding")
-    return docs, asked
+    """Every document, and the turns of every hundredth conversation, with the vectors of their words."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    turns = table(spark, sf_dir, "conversations").where("conv_id % 100 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    asked = turns.join(meaning.hash_embed(turns, DIM), "id").withColumnRenamed("id", "query_id")
+    return docs.join(meaning.hash_embed(docs, DIM), "id"), asked
 
 
 @query(f"WITH {HYBRID_SQL} SELECT query_id, id, bm AS score, lr AS rank FROM ranked WHERE lr <= 10")
