@@ -12,9 +12,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 
-#: Pre-tokens a worker remembers in each of two generations; older ones are encoded again.
+#: Pre-tokens a task remembers in each of two generations; older ones are encoded again.
 REMEMBERED = 250_000
 #: Pre-tokens of up to so many bytes share one queue; longer ones have their own.
 SHORT = 256
@@ -270,6 +270,9 @@ class ByteBpe:
             self.older = self.ids, self.raw
             self.ids, self.raw = {}, {}
 
+    def forget_all(self) -> None:
+        self.ids, self.raw, self.older = {}, {}, ({}, {})
+
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded bytes."""
         at = 0
@@ -278,8 +281,10 @@ class ByteBpe:
             while at < len(texts) and held < RUN:
                 held += len(texts[at])
                 at += 1
-            split = [self.split(text) for text in texts[first:at]]
-            pieces = set().union(*split) - self.ids.keys()
+            # One string for each different pre-token, however often it occurs in the run.
+            shared: dict[str, str] = {}
+            split = [list(map(shared.setdefault, found, found)) for found in map(self.split, texts[first:at])]
+            pieces = shared.keys() - self.ids.keys()
             self.long = any(len(piece) > SHORT for piece in pieces)
             self.learn(pieces)
             ids_of, raw_of = self.ids.__getitem__, self.raw.__getitem__
@@ -322,6 +327,22 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, ids array<int>, decoded string")
 
 
+def _digest_batches(path: str, pattern: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(path, pattern)
+        try:
+            for batch in batches:
+                rows = list(bpe.digests([text or "" for text in batch.column(1).to_pylist()]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+        finally:  # the process stays for other stages; a task meets nearly all of its pre-tokens in its first batches
+            bpe.forget_all()
+
+    return run
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
@@ -329,16 +350,6 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     counts as empty: no ids, and the hash of nothing. Repeated rows give repeated rows; doc_id may be
     null; other columns are not read. An empty table gives no rows.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path, pattern)
-        for batch in batches:
-            rows = list(bpe.digests([text or "" for text in batch.column(1).to_pylist()]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     small_batches(docs.sparkSession)
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(give_back(_digest_batches(path, pattern)), f"doc_id {dict(source.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,23 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(TEXT_ROWS))
 
 
+def give_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, after whose last batch what it has freed goes back to the system.
+
+    Spark keeps a Python worker for later stages, and the allocators keep freed memory; in the executor it then counts
+    beside what the later stage needs itself.
+    """
+
+    def returning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+                pool.release_unused()
+
+    return returning
+
+
 class Scratch:
     """Tables that an operator writes to the shared folder between its steps.
 

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import give_back, small_batches
 
 #: Bytes a window, filter widths, filters of each width.
 WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 16
@@ -199,7 +199,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep: list[str]) -> DataFr
     source = docs.select(F.col("text").cast("string").alias("__text"), *keep)
     small_batches(docs.sparkSession)
     schema = ", ".join(f"`{name}` {kind}" for name, kind in source.dtypes[1:])
-    return source.mapInArrow(_predict_batches(net), f"{schema}, __lang_pred string, __score double")
+    return source.mapInArrow(give_back(_predict_batches(net)), f"{schema}, __lang_pred string, __score double")
 
 
 def held_out() -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, setsketch
-from .common import FURTHER, Scratch, maybe_in, partitions, small_batches, without
+from .common import FURTHER, Scratch, give_back, maybe_in, partitions, small_batches, without
 from .components import connected_components
 
 #: An estimate this far below the threshold (over six standard errors) ends a pair without comparing sets.
@@ -264,7 +264,7 @@ def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = texts.withColumn("text_key", _text_key())
-    rows = scratch.store("rows", keyed.mapInArrow(_sketch_batches(k), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>"))
+    rows = scratch.store("rows", keyed.mapInArrow(give_back(_sketch_batches(k)), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>"))
 
     # A node for each doc_id and set: the doc_id, or for a further set of that doc_id a number above all doc_ids.
     digest = F.struct("set_a", "set_b")
@@ -301,7 +301,7 @@ def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
     owners = candidates.select(F.col("node").alias("doc_id"))
     if again:
         owners = with_node(rows.select("doc_id", "set_a", "set_b")).join(candidates, "node", "left_semi").select("doc_id")
-    found = with_node(maybe_in(texts.where("doc_id is not null"), "doc_id", owners).mapInArrow(_set_batches(k), "doc_id long, set_a long, set_b long, regs binary, shingles binary"))
+    found = with_node(maybe_in(texts.where("doc_id is not null"), "doc_id", owners).mapInArrow(give_back(_set_batches(k)), "doc_id long, set_a long, set_b long, regs binary, shingles binary"))
     found = found.select("node", "regs", "shingles")
     full = scratch.store("full", found.dropDuplicates(["node"]) if again else found)
 
@@ -312,10 +312,10 @@ def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
     pairs = scratch.store("pairs", pairs.groupBy("a", F.col("node").alias("b")).agg(F.first("n_a").alias("n_a"), F.first("n_shingles").alias("n_b")))
     regs = full.select("node", "regs")
     joined = pairs.join(regs.toDF("b", "regs_b"), "b").join(regs.toDF("a", "regs_a"), "a").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
-    likely = scratch.store("likely", joined.mapInArrow(_estimate_batches(percent / 100 - ESTIMATE_MARGIN), "a long, b long"))
+    likely = scratch.store("likely", joined.mapInArrow(give_back(_estimate_batches(percent / 100 - ESTIMATE_MARGIN)), "a long, b long"))
     held = full.select("node", "shingles")
     joined = likely.join(held.toDF("b", "shingles_b"), "b").join(held.toDF("a", "shingles_a"), "a").select("a", "b", "shingles_a", "shingles_b")
-    links = scratch.store("links", joined.mapInArrow(_exact_batches(percent), "a long, b long"))
+    links = scratch.store("links", joined.mapInArrow(give_back(_exact_batches(percent)), "a long, b long"))
     scratch.drop("centre", "pairs", "likely")
 
     links = links.unionByName(_rest(scratch, members, full, links, percent))
@@ -357,10 +357,10 @@ def _rest(scratch: Scratch, members: DataFrame, full: DataFrame, links: DataFram
     right = rest.select("band", every("own").alias("i"), block("blocks").alias("j"), *shown, F.lit(False).alias("left"))
     cell, count = ["band", "i", "j"], partitions(members.sparkSession)
     dealt = left.unionByName(right).join(full.select("node", "regs"), "node").repartition(count, *cell).sortWithinPartitions(*cell)
-    screened = scratch.store("screened", dealt.mapInArrow(_screen_batches(percent), "band long, i int, j int, node long, component long, left boolean"))
+    screened = scratch.store("screened", dealt.mapInArrow(give_back(_screen_batches(percent)), "band long, i int, j int, node long, component long, left boolean"))
     scratch.drop("joined", "placed", "split")
     dealt = screened.join(full.select("node", "shingles"), "node").repartition(count, *cell).sortWithinPartitions(*cell)
-    found = scratch.store("rest-links", dealt.mapInArrow(_compare_batches(percent), "a long, b long"))
+    found = scratch.store("rest-links", dealt.mapInArrow(give_back(_compare_batches(percent)), "a long, b long"))
     scratch.drop("screened")
     return found
 
