@@ -26,3 +26,22 @@ def test_bm25_of_many_questions_is_scanned(spark, monkeypatch, kind, bytes_at_on
     found = sorted(map(tuple, retrieval.bm25_top(docs, queries, 5, 6).collect()))
     monkeypatch.setattr(scan_topk, "MOST_BYTES", 0)
     assert len(found) > 200 and found == sorted(map(tuple, retrieval.bm25_top(docs, queries, 5, 6).collect()))
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+@pytest.mark.parametrize("bytes_at_once", [1 << 14, 3000])
+def test_conjunctive_search_of_many_questions_is_scanned(spark, monkeypatch, kind, bytes_at_once):
+    docs, queries = texts(spark, 200, 1, "id", kind, 40).repartition(5), texts(spark, 90, 2, "query_id", "long", 4)
+    queries = queries.unionByName(docs.selectExpr("cast(id as long) + 1000 as query_id", "text").where("text <> ''"))  # all words of a document
+    monkeypatch.setattr(scan_topk, "MOST_BYTES", bytes_at_once * 8)
+    monkeypatch.setattr(scan_topk, "CELLS", 700)
+    assert scan_topk.holding_all(docs, queries) is not None
+    pairs = sorted(map(tuple, retrieval.lexical_conjunctive(docs, queries).collect()))
+    counts = sorted(map(tuple, retrieval.conjunctive_counts(docs, queries).collect()))
+    monkeypatch.setattr(scan_topk, "MOST_BYTES", 0)
+    assert len(pairs) > 100 and pairs == sorted(map(tuple, retrieval.lexical_conjunctive(docs, queries).collect()))
+    assert counts == sorted(map(tuple, retrieval.conjunctive_counts(docs, queries).collect()))
+    by_query = {}
+    for query, doc in pairs:
+        by_query.setdefault(query, []).append(doc)
+    assert counts == sorted((q, len(d), min(d)) for q, d in by_query.items())
