@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .audit import SCOPE, attributes, buckets, contradictions, dangling_references, with_subject
+from .audit import SCOPE, attributes, bucket_values, buckets, contradictions, dangling_references, with_subject
 from .lifecycle import similar_pairs
 from .meaning import opposed, polarity
 
@@ -34,7 +34,8 @@ def contradiction_values(memories: DataFrame, found: DataFrame | None = None) ->
     The value's representative is the recommended memory where it carries the value, else the latest
     carrier (ties by the lowest id), with the exact value that it says.
     """
-    found = contradictions(memories) if found is None else found
+    if found is None:
+        return bucket_values(memories)
     key = [*SCOPE, "attr"]
     rows = buckets(attributes(memories)).join(found.select(*key, "winner_id", "winner_bucket"), key)
     said = F.coalesce(F.col("number").cast("string"), F.col("text"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import audit, lifecycle
+from factloom.operators import audit, lifecycle, reports
 
 
 @pytest.fixture()
@@ -34,3 +34,16 @@ def test_one_bucket_or_several(spark, values, state):
     n = audit.buckets(audit.attributes(rows)).agg(F.count_distinct("bucket")).first()[0]
     decisions = spark.createDataFrame([("d", "acme", "2024-01", "s", "x", "m0", ["m1"])], "decision_id string, company_key string, period string, subject string, attr string, selected_id string, target_ids array<string>")
     assert [r.state for r in lifecycle.apply_conflict_decisions(rows, decisions).collect()] == [state] and (n > 1) == (state == "resolved")
+
+
+def test_values_of_wavering_facts(wavering):
+    rows = reports.contradiction_values(wavering).where("attr = 'total'").collect()
+    assert len(rows) == 40 and sum(r.recommended for r in rows) == 20 and {r.n_carriers for r in rows} == {1}
+
+
+def test_values_are_those_of_given_contradictions(spark):
+    from factloom.plans.facts import memories
+
+    rows = memories(spark, "/root/testdata/sf0.001")
+    one, other = reports.contradiction_values(rows), reports.contradiction_values(rows, audit.contradictions(rows))
+    assert sorted(map(tuple, one.select(*other.columns).collect())) == sorted(map(tuple, other.collect()))
