@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from ..functions.scalars import round_up, slug, valid_date, valid_period
 
@@ -57,25 +56,26 @@ def fuse_events(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ref = F.coalesce(F.nullif(F.lower(spaced("event_ref")), F.lit("")), F.lit(MONTHLY))
     keyed = docs.withColumns({"company_label": spaced("company"), "company": F.lower(spaced("company")), "event_ref": ref, "doc_type": kind, "currency": F.nullif(F.upper(F.trim("currency")), F.lit(""))})
     group = ["company", "period", "event_ref"]
+    # Documents are shuffled once, by group; both aggregates run where the documents lie and nothing is joined.
+    keyed = keyed.repartition(*group).withColumns({"__slip": F.col("payslip").isNotNull(), "__employee": F.lower(F.trim("payslip.employee_id"))})
     own = lambda kind, name: F.when(F.col("doc_type") == kind, F.col(name))
     fields = {f"{kind}_{name}": own(kind, name) for kind, names in {"register": (*TOTALS[:3], "employee_count"), "bank": ("net_pay_total", "payment_date", "employee_count")}.items() for name in names}
     start = lambda value: F.min_by(value, F.when(value.isNotNull(), F.col("doc_id")))
     apart = lambda value: F.greatest(F.max(value) - start(value), start(value) - F.min(value))
-    slips = (
-        keyed.where("payslip is not null").groupBy(*[F.col(g).alias(f"__{g}") for g in group], F.lower(F.trim("payslip.employee_id")))
-        .agg(F.min_by("payslip", "doc_id").alias("slip"), F.greatest(*[F.coalesce(apart(F.col(f"payslip.{name}")), F.lit(0.0)) for name in SLIP_FIELDS]).alias("spread"))
-        .groupBy(*[f"__{g}" for g in group]).agg(F.array_sort(F.collect_list("slip")).alias("slips"), (F.max("spread") > CENT).alias("slip_conflict"))
-    )
-    first = keyed.groupBy(*group).agg(
-        *[start(value).alias(name) for name, value in fields.items()],
-        *[apart(value).alias(f"{name}__spread") for name, value in fields.items() if not name.endswith("payment_date")],
+    first_of = lambda value: F.min(F.when(value.isNotNull() & F.col("doc_id").isNotNull(), F.struct("doc_id", value.alias("v"))))
+    compared = [name for name in fields if not name.endswith("payment_date")]
+    people = keyed.groupBy(*group, "__slip", "__employee").agg(
+        *[first_of(value).alias(f"{name}__first") for name, value in fields.items()], *[f(fields[name]).alias(f"{name}__{n}") for name in compared for n, f in (("low", F.min), ("high", F.max))],
         F.max(own("register", "doc_id")).isNotNull().alias("has_register"), F.max(own("bank", "doc_id")).isNotNull().alias("has_bank"),
-        F.count_distinct("currency").alias("currencies"), F.min("currency").alias("currency"), F.min("company_label").alias("label"),
-        F.array_sort(F.collect_set("doc_id")).alias("linked_docs"),
+        F.min("currency").alias("low_currency"), F.max("currency").alias("high_currency"), F.min("company_label").alias("label"), F.collect_set("doc_id").alias("docs"),
+        F.min_by("payslip", "doc_id").alias("slip"), F.greatest(*[F.coalesce(apart(F.col(f"payslip.{name}")), F.lit(0.0)) for name in SLIP_FIELDS]).alias("spread"),
+    )
+    merged = people.groupBy(*group).agg(
+        *[F.min(f"{name}__first")["v"].alias(name) for name in fields], *[f(f"{name}__{n}").alias(f"{name}__{n}") for name in compared for n, f in (("low", F.min), ("high", F.max))],
+        F.max("has_register").alias("has_register"), F.max("has_bank").alias("has_bank"), F.min("low_currency").alias("currency"), F.max("high_currency").alias("high_currency"), F.min("label").alias("label"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("linked_docs"), F.array_sort(F.collect_list("slip")).alias("slips"), F.max(F.when(F.col("__slip"), F.col("spread")) > CENT).alias("slip_conflict"),
     )
-    first = first.join(slips, F.expr(" and ".join(f"{g} <=> __{g}" for g in group)), "left").drop(*[f"__{g}" for g in group])
-    none = F.array().cast(ArrayType(keyed.schema["payslip"].dataType))
-    first = first.withColumn("slips", F.coalesce("slips", none))
+    first = merged.withColumns({f"{name}__spread": F.greatest(F.col(f"{name}__high") - F.col(name), F.col(name) - F.col(f"{name}__low")) for name in compared})
     conflict = None
     for name in fields:
         if not name.endswith("payment_date"):
@@ -85,7 +85,7 @@ def fuse_events(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     conflict = conflict | F.coalesce(counts[0] != counts[1], F.lit(False))
     gross, cost, social = complete_totals(F.col("register_gross_pay_total"), F.col("register_employer_cost_total"), F.col("register_employer_social_security_total"))
     reason = (
-        F.when(F.col("currencies") > 1, "conflicting_currency").when(~F.col("has_register"), "missing_register").when(~F.col("has_bank"), "missing_bank").when(conflict, "conflicting_value").when(F.col("slip_conflict"), "conflicting_payslip")
+        F.when(F.col("currency") != F.col("high_currency"), "conflicting_currency").when(~F.col("has_register"), "missing_register").when(~F.col("has_bank"), "missing_bank").when(conflict, "conflicting_value").when(F.col("slip_conflict"), "conflicting_payslip")
         .when(gross.isNull() | cost.isNull(), "incomplete_totals").when(F.abs(cost - gross - social) > CENT, "inconsistent_totals").when(F.least(gross, cost, social) < 0, "negative_total")
     )
     rows = first.withColumn("reason", reason)
@@ -133,7 +133,7 @@ def _plain(value: Column) -> Column:
     return F.regexp_replace(F.format_number(round_up(value, 2), 2), r"\.?0+$", "")
 
 
-def validation_rules(events: DataFrame, policy: ValidationPolicy = ValidationPolicy()) -> DataFrame:
+def validation_rules(events: DataFrame, policy: ValidationPolicy = ValidationPolicy(), keep: tuple[str, ...] = ()) -> DataFrame:
     """R1-R6 for each event in long form: event_id, rule, status (passed, failed, not_evaluated), severity, message.
 
     R1 bank net against the payslips' net, within 2 % of the latter; R2 employer cost over net within the policy's band;
@@ -143,7 +143,8 @@ def validation_rules(events: DataFrame, policy: ValidationPolicy = ValidationPol
     ``info``; failed comparisons of money are ``error``, other failures ``warning``.
 
     An event shows its evidence: a bank statement by a net and a register by a cost that is not null, a
-    declared count by ``declared_count``, where that column is missing by a positive count.
+    declared count by ``declared_count``, where that column is missing by a positive count. ``keep``: columns of the event
+    that each of its rows gets too.
     """
     slips = F.coalesce(F.size("employees"), F.lit(0))
     slips = F.when(slips < 0, 0).otherwise(slips)
@@ -184,7 +185,7 @@ def validation_rules(events: DataFrame, policy: ValidationPolicy = ValidationPol
         "R5": against_register("gross", gross, "gross"), "R6": against_register("employer cost", cost, "employer_cost"),
     }
     long = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), found.alias("r")) for rule, found in rules.items()])).alias("x")
-    return events.select("event_id", long).select("event_id", "x.rule", "x.r.*")
+    return events.select("event_id", *keep, long).select("event_id", *keep, "x.rule", "x.r.*")
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], time: str = "created_at", tie: str = "id") -> DataFrame:
