@@ -129,8 +129,7 @@ named AS (SELECT *, 'evt-' || lower(company) || '-ord-' || k || '-' || substr(sh
 SELECT 'event:' || event_id || ':validation:' || rule AS idempotency_key, 'Validation ' || upper(status) || ' for ' || company || ' ' || period || ' — ' || rule AS content FROM named""")
 def validation_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
-    rules = finance.validation_rules(events).join(events.select("event_id", "company", "period"), "event_id")
-    return ingest.validation_memories(rules).select("idempotency_key", "content")
+    return ingest.validation_memories(finance.validation_rules(events, keep=("company", "period"))).select("idempotency_key", "content")
 
 
 @query("""
