@@ -146,25 +146,26 @@ def event_memories(events: DataFrame) -> DataFrame:
     off = round_up(cost - bank, 2)
     share = lambda part: F.when(bank > 0, round_up(part / bank * 100, 1)).otherwise(lit(0.0))
     start = F.concat(lit("event:"), "event_id")
-    row = lambda kind, ref, key, importance, content, metadata: ["event_id", lit(kind).alias("kind"), "company", "period", ref.alias("source_ref"), key.alias("idempotency_key"), lit(importance).cast("double").alias("importance"), content.alias("content"), F.to_json(metadata, {"ignoreNullFields": "false"}).alias("metadata")]
-    summary = events.select(*row(
+    row = lambda kind, ref, key, importance, content, metadata: F.struct(lit(kind).alias("kind"), ref.alias("source_ref"), key.alias("idempotency_key"), lit(importance).cast("double").alias("importance"), content.alias("content"), F.to_json(metadata, {"ignoreNullFields": "false"}).alias("metadata"))
+    summary = F.array(row(
         "payroll_event", col("event_id"), F.concat(start, lit(":summary")), None,
         F.concat(lit("Workforce cost for "), "company", lit(" in "), "period", lit(": "), col("employee_count").cast("string"), lit(" employees, gross "), amount(col("gross_total")), lit(", true employer cost "), amount(cost), lit(", net paid from bank "), amount(bank), lit(".")),
         F.struct("employee_count", "gross_total", "employer_cost_total", "bank_net_total", "employer_social_security_total", "employee_social_security_total", "tax_withheld_total", "currency")))
     no_share = " (percentage unavailable because the bank transfer is zero)"
     by = F.concat(lit(" by "), amount(F.abs(off)), F.when(bank > 0, F.concat(lit(" ("), F.format_string("%.1f", F.abs(share(off))), lit("% of the transfer)"))).otherwise(no_share))
     compared = F.when(off > 0, F.concat(lit("is below the true employer cost of "), amount(cost), by)).when(off < 0, F.concat(lit("exceeds the true employer cost of "), amount(cost), by)).otherwise(F.concat(lit("matches the true employer cost of "), amount(cost)))
-    insight = events.select(*row(
+    insight = F.array(row(
         "insight", col("event_id"), F.concat(start, lit(":insight")), 0.9,
         F.concat(lit("Off-bank workforce-cost comparison at "), "company", lit(" for "), "period", lit(": the bank salary transfer of "), amount(bank), lit(" "), compared, lit(". Employer social-security contributions are "), amount(social),
                  F.when(bank > 0, F.concat(lit(" ("), F.format_string("%.1f", share(social)), lit("% of the bank transfer)"))).otherwise(no_share), lit(".")),
         F.struct(off.alias("off_bank_cost"), share(cost - bank).alias("off_bank_cost_pct"), round_up(social, 1).alias("cost_gap_amount"), share(social).alias("cost_gap_pct"), "employer_social_security_total", "currency")))
-    people = events.select("event_id", "company", "period", "currency", F.explode("employees").alias("e"))
-    employee = people.select(*row(
-        "payroll_event", F.concat("event_id", lit(":"), "e.employee_id"), F.concat(start, lit(":employee:"), "e.employee_id"), None,
-        F.concat("e.name", lit(" (id "), "e.employee_id", lit(") at "), "company", lit(" in "), "period", lit(": gross "), amount(col("e.gross")), lit(", net "), amount(col("e.net")), lit(", employer cost "), amount(col("e.employer_cost")), lit(".")),
-        F.struct("e.employee_id", "e.net", "e.gross", "currency")))
-    return summary.unionByName(insight).unionByName(employee)
+    employee = F.transform(F.coalesce("employees", F.array()), lambda e: row(
+        "payroll_event", F.concat("event_id", lit(":"), e["employee_id"]), F.concat(start, lit(":employee:"), e["employee_id"]), None,
+        F.concat(e["name"], lit(" (id "), e["employee_id"], lit(") at "), "company", lit(" in "), "period", lit(": gross "), amount(e["gross"]), lit(", net "), amount(e["net"]), lit(", employer cost "), amount(e["employer_cost"]), lit(".")),
+        F.struct(e["employee_id"].alias("employee_id"), e["net"].alias("net"), e["gross"].alias("gross"), "currency")))
+    # All rows of an event are spread from the event, which is computed once.
+    said = events.select("event_id", "company", "period", F.explode(F.concat(summary, insight, employee)).alias("m"))
+    return said.select("event_id", "m.kind", "company", "period", "m.source_ref", "m.idempotency_key", "m.importance", "m.content", "m.metadata")
 
 
 def validation_memories(rules: DataFrame) -> DataFrame:
